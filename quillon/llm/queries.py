@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from quillon.llm import chat
+from quillon.llm import chat, mixing
 
-QUERIES = {"op1_chat_formatting": chat.op1_chat_formatting}
+QUERIES = {
+    "op1_chat_formatting": chat.op1_chat_formatting,
+    "op3_mixing": mixing.op3_mixing,
+}
 
 ORACLES: dict[str, str] = {}
