@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from quillon.llm import chat, mixing
+from quillon.llm import chat, mixing, rules
 
 QUERIES = {
     "op1_chat_formatting": chat.op1_chat_formatting,
     "op3_mixing": mixing.op3_mixing,
+    "op4_quality_rules": rules.op4_quality_rules,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op4_quality_rules": rules.OP4_SQL}
