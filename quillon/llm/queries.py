@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from quillon.llm import chat, mixing, rules
+from quillon.llm import chat, mixing, rules, secrets, tokens
 
 QUERIES = {
     "op1_chat_formatting": chat.op1_chat_formatting,
     "op3_mixing": mixing.op3_mixing,
     "op4_quality_rules": rules.op4_quality_rules,
+    "op5_token_counts": tokens.op5_token_counts,
+    "op10_secret_scans": secrets.op10_secret_scans,
 }
 
 ORACLES: dict[str, str] = {"op4_quality_rules": rules.OP4_SQL}
