@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from quillon.llm import chat, mixing, rules, secrets, tokens
+from quillon.llm import chat, mixing, rules, secrets, simhash, tokens
 
 QUERIES = {
     "op1_chat_formatting": chat.op1_chat_formatting,
     "op3_mixing": mixing.op3_mixing,
     "op4_quality_rules": rules.op4_quality_rules,
     "op5_token_counts": tokens.op5_token_counts,
+    "op6_simhash": simhash.op6_simhash,
     "op10_secret_scans": secrets.op10_secret_scans,
 }
 
