@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from quillon.llm import chat, mixing, rules, secrets, simhash, tokens
+from quillon.llm import chat, mixing, rules, secrets, simhash, substrings, tokens
 
 QUERIES = {
     "op1_chat_formatting": chat.op1_chat_formatting,
+    "op2_substring_dedup": substrings.op2_substring_dedup,
     "op3_mixing": mixing.op3_mixing,
     "op4_quality_rules": rules.op4_quality_rules,
     "op5_token_counts": tokens.op5_token_counts,
