@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillon.llm import chat, decontam, kneser, mixing, rules, secrets, simhash, substrings, tokens
+from quillon.llm import chat, decontam, kneser, licenses, mixing, rules, secrets, simhash, substrings, tokens
 
 QUERIES = {
     "op1_chat_formatting": chat.op1_chat_formatting,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_quality_rules": rules.op4_quality_rules,
     "op5_token_counts": tokens.op5_token_counts,
     "op6_simhash": simhash.op6_simhash,
+    "op7_license_scans": licenses.op7_license_scans,
     "op8_quality_classifier": kneser.op8_quality_classifier,
     "op9_decontamination": decontam.op9_decontamination,
     "op10_secret_scans": secrets.op10_secret_scans,
