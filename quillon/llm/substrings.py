@@ -239,7 +239,8 @@ def dedup(docs: DataFrame, keys: list[str], length: int = LENGTH, period: int =
     picked = [F.when(whole, F.col("n_words")).otherwise(F.col("n_removed")).alias("n_removed"), F.when(whole, F.lit(hashlib.sha256().hexdigest())).otherwise(F.col("kept_sha256")).alias("kept_sha256")]
     if texts:
         picked.append(F.when(whole, F.lit("")).otherwise(F.col("kept")).alias("kept"))
-    done = done.select("k", "digest", "n_words", *picked)
+    # written, so that both sides of the join are shuffled as they are and the many copies of a text can be split
+    done = settle(done.select("k", "digest", "n_words", *picked), "kept")
     out = rows.join(done, (rows["__k"] == done["k"]) & (rows["__digest"] == done["digest"]))
     return out.select(*(rows[c] for c in keys), "n_words", "n_removed", "kept_sha256", *(["kept"] if texts else []))
 
