@@ -21,7 +21,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm._common import new_path, text_of
+from quillon.llm._common import new_path, settle, text_of
 
 LIMIT = 512
 CACHE = "digest binary, tokenizer string, n_tokens long"
@@ -94,6 +94,8 @@ def count_tokens(docs: DataFrame, keys: list[str], tokenizer: str, cache: str |
     made.select("digest", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache)
     # a job that ran twice at a time may have stored a count twice
     counts = _cache(spark, cache).where(F.col("tokenizer") == version).groupBy("digest").agg(F.min("n_tokens").alias("n_tokens"))
+    # written, so that both sides of the join are shuffled as they are and the many copies of a text can be split
+    counts = settle(counts, "token-counts")
     rows = docs.select(*keys, digest.alias("__digest"), F.octet_length(text_of()).cast("long").alias("n_bytes"))
     return rows.join(counts, rows["__digest"] == counts["digest"]).select(*(rows[k] for k in keys), "n_bytes", "n_tokens")
 
