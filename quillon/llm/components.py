@@ -16,7 +16,7 @@ def components(edges: DataFrame) -> DataFrame:
     Each round points the larger neighbours of every node to its smallest one, then does so for the smaller ones; the
     number of rounds grows with the logarithm of the number of nodes. Null ends, loops and repeated edges do no harm.
     """
-    e = settle(edges.where("a < b").select("a", "b").union(edges.where("a > b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    e = settle(edges.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     for _ in range(ROUNDS):
         if e.isEmpty():
             break
