@@ -65,7 +65,7 @@ def test_thresholds():
     assert beta.reject_cut([0, 1, 2], [1, 1, 1]) == -math.inf
     scores = [float(i) for i in range(200)]
     a, r = beta.fit_thresholds(scores, [int(s >= 100) for s in scores])
-    assert 90 <= r < a <= 110
+    assert 90 <= r <= a <= 110
 
 
 def test_simulation(spark):
