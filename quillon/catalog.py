@@ -622,3 +622,55 @@ def set_difference(spark, d):
 def conflicting_keys(spark, d):
     return table(spark, d, "documents").groupBy("text").agg(F.countDistinct("source").alias("n")).where("n > 1")
 
+
+
+@query("mean_tuple_size", r"SELECT round(avg(greatest(len(regexp_extract_all(text, '[A-Za-z0-9_]+|[^A-Za-z0-9_\s]')), 1)), 6) AS tokens FROM benchmark WHERE NOT regexp_matches(text, '[^\x00-\x7F]')")
+def mean_tuple_size(spark, d):
+    return joins.mean_tokens(table(spark, d, "benchmark").where(r"not text rlike '[^\\x00-\\x7F]'"), "text").select(r6(F.col("tokens"), "tokens"))
+
+
+@query("cost_savings", f"SELECT o.n, round(100 * (o.v * 2 - b.v) / b.v, 6) AS cost_change, round(100 * (o.f - b.f) / b.f, 6) AS f_change FROM {_RUNS} o JOIN {_RUNS} b ON o.n = b.n AND o.method = 'N' AND b.method = 'R'")
+def cost_savings(spark, d):
+    r = _runs(spark, d).withColumn("cost", F.when(F.col("method") == "N", F.col("v") * 2).otherwise(F.col("v")))
+    return evaluation.changes(r, "n", "method", "R", "N", ["cost", "f"]).select("n", r6(F.col("cost_change"), "cost_change"), r6(F.col("f_change"), "f_change"))
+
+
+@query("ordered_methods", "SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY 1")
+def ordered_methods(spark, d):
+    g = table(spark, d, "orders").groupBy("o_orderpriority").agg(F.count("*").alias("n"))
+    return evaluation.ordered_by(g, "o_orderpriority", ["5-LOW", "1-URGENT"], "o_orderpriority")
+
+
+@query("question_to_query", "SELECT doc_id FROM documents WHERE n_chars < 900 AND length(trim(text)) >= 10 AND regexp_matches(text, '(?i)hand')")
+def question_to_query(spark, d):
+    docs = table(spark, d, "documents")
+    asked = "texts of less than 900 minutes that speak of a hand"
+    sql = semantic.to_query(asked, "documents", docs.columns, minutes="n_chars")
+    return semantic.run(spark, sql, LexicalJudge({asked: ["hand"]}), {"documents": docs}).select("doc_id")
+
+
+@query("evaluation_split", None)
+def evaluation_split(spark, d):
+    return table(spark, d, "documents").select("doc_id", dictionary.split_tag(F.col("doc_id"), "42").alias("split"))
+
+
+@query("value_counts", "SELECT lang, source, count(*) AS n FROM documents GROUP BY 1, 2")
+def value_counts(spark, d):
+    return table(spark, d, "documents").groupBy("lang", "source").agg(F.count("*").alias("n"))
+
+
+@query("run_union", "SELECT 'a' AS run, p_partkey AS k FROM part WHERE p_size < 5 UNION ALL SELECT 'b', s_suppkey FROM supplier")
+def run_union(spark, d):
+    a = table(spark, d, "part").where("p_size < 5").select(F.lit("a").alias("run"), F.col("p_partkey").alias("k"))
+    return a.unionByName(table(spark, d, "supplier").select(F.lit("b").alias("run"), F.col("s_suppkey").alias("k")))
+
+
+@query("budget_packing", "SELECT count(*) AS rows, sum(greatest(len(regexp_extract_all(text, '[A-Za-z0-9_]+|[^A-Za-z0-9_\\s]')), 1))::BIGINT AS tokens FROM benchmark WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]')")
+def budget_packing(spark, d):
+    """Every row is in one batch; the batches' rows and tokens add up."""
+    from quillon.sources.stored import with_ordinal
+
+    b = with_ordinal(table(spark, d, "benchmark").where(r"not text rlike '[^\\x00-\\x7F]'").select("item_id", "text"), "item_id")
+    packed = joins.packed(b, 400, 10)
+    by = packed.groupBy("range", "batch").agg(F.count("*").alias("n"), F.sum(tx.token_count(F.col("text"))).alias("t"))
+    return by.agg(F.sum("n").alias("rows"), F.sum("t").alias("tokens"))

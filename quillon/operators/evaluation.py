@@ -134,3 +134,17 @@ def histogram(df: DataFrame, value: str, low: float, high: float, bins: int) ->
     """bin (1 to bins), n of the values from low to high."""
     b = F.least(F.width_bucket(value, F.lit(float(low)), F.lit(float(high)), F.lit(bins)), F.lit(bins))
     return df.where(F.col(value).between(low, high)).groupBy(b.cast("int").alias("bin")).agg(F.count("*").alias("n"))
+
+
+def ordered_by(df: DataFrame, column: str, order: list[str], *then) -> DataFrame:
+    """df sorted by a category in a given order; other values come last."""
+    rank = F.lit(len(order))
+    for i, v in reversed(list(enumerate(order))):
+        rank = F.when(F.col(column) == v, i).otherwise(rank)
+    return df.orderBy(rank, *then)
+
+
+def shuffled(df: DataFrame, key: str, seed: str, most: int | None = None) -> DataFrame:
+    """df in a seeded order; with most, its first rows."""
+    out = df.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key)
+    return out.limit(most) if most is not None else out

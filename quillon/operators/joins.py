@@ -43,6 +43,11 @@ def dry_run_join(entities: DataFrame, texts: DataFrame, key: str, text: str, ter
     return entities.join(texts, key).where(F.col(text).rlike("(?i)(?:" + "|".join(terms) + ")"))
 
 
+def mean_tokens(df: DataFrame, text: str) -> DataFrame:
+    """tokens: the mean of the column's token counts; 1 without rows."""
+    return df.agg(F.coalesce(F.avg(token_count(F.col(text).cast("string"))), F.lit(1.0)).alias("tokens"))
+
+
 def optimal_block(mean1: float, mean2: float, result: float, prompt: int, budget: int, selectivity: float) -> tuple[int, int]:
     """Rows of the two blocks that fill a token budget best: tokens b1*mean1 + b2*mean2 + b1*b2*selectivity*result + prompt.
 
@@ -142,8 +147,8 @@ def block_join(entities: DataFrame, texts: DataFrame, key: str, text: str, quest
 
 def adaptive_join(entities: DataFrame, texts: DataFrame, key: str, text: str, question: str, judge: Judge, budget: int = 4096, selectivity: float = 0.001, factor: float = 4.0, rounds: int = 6, result: float = 8.0) -> JoinOutcome:
     """block_join with block sizes from an estimate of selectivity, raised by factor until no call overflows."""
-    mean = lambda df, c: df.agg(F.avg(token_count(F.col(c).cast("string")))).first()[0] or 1.0
-    m1, m2, out = mean(entities, key), mean(texts, text), None
+    m1, m2 = (mean_tokens(df, c).first()[0] for df, c in ((entities, key), (texts, text)))
+    out = None
     for _ in range(rounds):
         b1, b2 = optimal_block(m1, m2, result, 64, budget, selectivity)
         out = block_join(entities, texts, key, text, question, judge, b1, b2)

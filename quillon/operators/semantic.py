@@ -93,3 +93,17 @@ def register(spark: SparkSession, judge: Judge) -> None:
 
     spark.udf.register("sem_answer", answer)
     spark.udf.register("sem_summary", summarise)
+
+
+def to_query(question: str, table: str, columns, text: str = "text", complete=None, **known) -> str:
+    """The query string of a question in words: complete(prompt) is a model's answer; without it, the rules' filters."""
+    from quillon.plans import dialect, questions
+
+    if complete is not None:
+        prompt = f"Table {table}({', '.join(columns)}). Write one SELECT for the question; ask of the text by answer({text}, 'question') = 'Yes'.\nQuestion: {question}"
+        return dialect.first_statement(complete(prompt))
+    quote = lambda v: "'" + str(v).replace("'", "''") + "'"
+    sign = {"eq": "=", "lt": "<", "le": "<=", "gt": ">", "ge": ">="}
+    parts = [f"{f.column} ILIKE {quote('%' + f.value + '%')}" if f.op == "contains" else f"{f.column} {sign[f.op]} {f.value if f.value.replace('.', '', 1).isdigit() else quote(f.value)}" for f in questions.extract(question, columns, **known)]
+    parts.append(f"answer({text}, {quote(dialect.semantic_part(question))}) = 'Yes'")
+    return f"SELECT * FROM {table} WHERE {' AND '.join(parts)}"
