@@ -87,17 +87,18 @@ _ROWS = pa.schema([("p", pa.int64()), ("q", pa.int64()), ("k", pa.int64()), ("at
 def _sent(p: np.ndarray, q: np.ndarray, k: np.ndarray, at: np.ndarray):
     """Rows for repeated(): sure is 0 for a hash that stands once here, 2 for the first of several and 1 for the others.
 
-    Rows of the last kind are known to be repeated; they travel under a key of their own.
+    Rows of the last kind are known to be repeated; they travel under their text's key.
     """
     order = np.lexsort((q, p))
     ps, qs = p[order], q[order]
     same = (ps[1:] == ps[:-1]) & (qs[1:] == qs[:-1])
     prev, nxt = np.concatenate([[False], same]), np.concatenate([same, [False]])
-    sure = np.where(prev, 1, np.where(nxt, 2, 0)).astype(np.int8)
-    k, at = k[order], at[order]
-    with np.errstate(over="ignore"):
-        ps = np.where(sure == 1, _join(k.view(np.uint64), at.view(np.uint64), 1), ps)
-    return pa.RecordBatch.from_arrays([pa.array(ps.view(np.int64)), pa.array(np.where(sure == 1, 0, qs.view(np.int64))), pa.array(k), pa.array(at), pa.array(sure)], schema=_ROWS)
+    sure = np.empty(len(p), np.int8)
+    sure[order] = np.where(prev, 1, np.where(nxt, 2, 0))
+    # rows keep the order of the texts, and what is known needs no hash: both pack well in the shuffle
+    known = sure == 1
+    p, q = np.where(known, k, p.view(np.int64)), np.where(known, 0, q.view(np.int64))
+    return pa.RecordBatch.from_arrays([pa.array(p), pa.array(q), pa.array(k), pa.array(at), pa.array(sure)], schema=_ROWS)
 
 
 def _laid_out(texts, keys, ords):
