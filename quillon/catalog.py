@@ -121,15 +121,15 @@ def strip_tags(spark, d):
     return table(spark, d, "pages").select("page_id", tx.strip_tags(F.col("html")).alias("text"))
 
 
-@query("content_ids", r"SELECT DISTINCT left(sha256(doc_id::VARCHAR || chr(0) || t), 24) AS text_id, doc_id::VARCHAR AS entity_id, t AS text FROM (SELECT doc_id, trim(regexp_replace(regexp_replace(text, '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS t FROM documents) WHERE t <> '' AND NOT contains(t, '&')")
+@query("content_ids", r"SELECT DISTINCT left(sha256(doc_id::VARCHAR || chr(0) || t), 24) AS text_id, doc_id::VARCHAR AS entity_id, t AS text FROM (SELECT doc_id, trim(regexp_replace(regexp_replace(text, '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS t FROM documents) WHERE t <> ''")
 def content_ids(spark, d):
-    rows = table(spark, d, "documents").where("not contains(text, '&')")
+    rows = table(spark, d, "documents")
     return tables.text_rows(rows.select(F.col("doc_id").alias("entity_id"), "text"))
 
 
-@query("token_count", r"SELECT item_id, greatest(len(regexp_extract_all(text, '[A-Za-z0-9_]+|[^A-Za-z0-9_\s]')), 1) AS tokens FROM benchmark WHERE NOT regexp_matches(text, '[^\x00-\x7F]')")
+@query("token_count", r"SELECT item_id, greatest(len(regexp_extract_all(text, '[A-Za-z0-9_]+|[^A-Za-z0-9_\s]')), 1) AS tokens FROM benchmark")
 def token_count(spark, d):
-    return table(spark, d, "benchmark").where(r"not text rlike '[^\\x00-\\x7F]'").select("item_id", tx.token_count(F.col("text")).cast("long").alias("tokens"))
+    return table(spark, d, "benchmark").select("item_id", tx.token_count(F.col("text")).cast("long").alias("tokens"))
 
 
 @query("price_parse", r"SELECT p_partkey, try_cast(regexp_extract(replace(replace(t, '$', ''), ',', ''), '(\d+(\.\d+)?)', 1) AS DOUBLE) AS price FROM (SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN 'none' ELSE '$' || p_size::VARCHAR || ',' || (100 + p_partkey % 900)::VARCHAR || '.5 - $9' END AS t FROM part)")
@@ -447,15 +447,15 @@ _TOKENS = "list_filter(list_distinct(regexp_extract_all(lower({}), '[a-z0-9]+'))
 
 
 @query("jaccard_concept_match", f"""
-WITH c AS (SELECT item_id, text AS phrase, {_TOKENS.format('text')} AS b FROM benchmark WHERE item_id < 20 AND NOT regexp_matches(text, '[^\\x00-\\x7F]')),
-q AS (SELECT doc_id AS id, {_TOKENS.format('text')} AS a FROM documents WHERE n_chars < 400 AND NOT regexp_matches(text, '[^\\x00-\\x7F]')),
-p AS (SELECT id, item_id, len(list_intersect(a, b)) AS i, len(a) + len(b) AS n FROM q JOIN c ON len(list_intersect(a, b)) > 0),
-s AS (SELECT id, item_id, i / (n - i) AS j, row_number() OVER (PARTITION BY id ORDER BY i / (n - i) DESC, 'item' || item_id::VARCHAR) AS r FROM p WHERE i / (n - i) >= 0.05)
-SELECT id, 'item' || item_id::VARCHAR AS concept, round(j, 6) AS similarity FROM s WHERE r = 1""")
+WITH c AS (SELECT item_id, text AS phrase, {_TOKENS.format('text')} AS b FROM benchmark),
+q AS (SELECT doc_id AS id, text, {_TOKENS.format('text')} AS a FROM documents),
+p AS (SELECT id, item_id, contains(lower(text), lower(phrase)) AS inside, len(list_intersect(a, b)) AS i, len(a) + len(b) AS n FROM q, c),
+s AS (SELECT id, 'item' || item_id::VARCHAR AS concept, CASE WHEN inside THEN 1.0::DOUBLE ELSE i / (n - i)::DOUBLE END AS j, inside FROM p WHERE i > 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY inside DESC, j DESC, concept) AS r FROM s WHERE j >= 0.05::DOUBLE)
+SELECT id, concept, round(j, 6) AS similarity FROM r WHERE r = 1""")
 def jaccard_concept_match(spark, d):
-    ascii_only = r"not text rlike '[^\\x00-\\x7F]'"
-    c = table(spark, d, "benchmark").where(f"item_id < 20 and {ascii_only}").select(F.concat(F.lit("item"), "item_id").alias("concept"), F.concat("text", F.lit(" ")).alias("phrase"))
-    q = table(spark, d, "documents").where(f"n_chars < 400 and {ascii_only}").select(F.col("doc_id").alias("id"), "text")
+    c = table(spark, d, "benchmark").select(F.concat(F.lit("item"), "item_id").alias("concept"), F.col("text").alias("phrase"))
+    q = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
     return dictionary.match_concepts(q, c, 0.05).select("id", "concept", r6(F.col("similarity"), "similarity"))
 
 
@@ -624,9 +624,9 @@ def conflicting_keys(spark, d):
 
 
 
-@query("mean_tuple_size", r"SELECT round(avg(greatest(len(regexp_extract_all(text, '[A-Za-z0-9_]+|[^A-Za-z0-9_\s]')), 1)), 6) AS tokens FROM benchmark WHERE NOT regexp_matches(text, '[^\x00-\x7F]')")
+@query("mean_tuple_size", r"SELECT round(avg(greatest(len(regexp_extract_all(text, '[A-Za-z0-9_]+|[^A-Za-z0-9_\s]')), 1)), 6) AS tokens FROM benchmark")
 def mean_tuple_size(spark, d):
-    return joins.mean_tokens(table(spark, d, "benchmark").where(r"not text rlike '[^\\x00-\\x7F]'"), "text").select(r6(F.col("tokens"), "tokens"))
+    return joins.mean_tokens(table(spark, d, "benchmark"), "text").select(r6(F.col("tokens"), "tokens"))
 
 
 @query("cost_savings", f"SELECT o.n, round(100 * (o.v * 2 - b.v) / b.v, 6) AS cost_change, round(100 * (o.f - b.f) / b.f, 6) AS f_change FROM {_RUNS} o JOIN {_RUNS} b ON o.n = b.n AND o.method = 'N' AND b.method = 'R'")
@@ -665,12 +665,12 @@ def run_union(spark, d):
     return a.unionByName(table(spark, d, "supplier").select(F.lit("b").alias("run"), F.col("s_suppkey").alias("k")))
 
 
-@query("budget_packing", "SELECT count(*) AS rows, sum(greatest(len(regexp_extract_all(text, '[A-Za-z0-9_]+|[^A-Za-z0-9_\\s]')), 1))::BIGINT AS tokens FROM benchmark WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]')")
+@query("budget_packing", "SELECT count(*) AS rows, sum(greatest(len(regexp_extract_all(text, '[A-Za-z0-9_]+|[^A-Za-z0-9_\\s]')), 1))::BIGINT AS tokens FROM benchmark")
 def budget_packing(spark, d):
     """Every row is in one batch; the batches' rows and tokens add up."""
     from quillon.sources.stored import with_ordinal
 
-    b = with_ordinal(table(spark, d, "benchmark").where(r"not text rlike '[^\\x00-\\x7F]'").select("item_id", "text"), "item_id")
+    b = with_ordinal(table(spark, d, "benchmark").select("item_id", "text"), "item_id")
     packed = joins.packed(b, 400, 10)
     by = packed.groupBy("range", "batch").agg(F.count("*").alias("n"), F.sum(tx.token_count(F.col("text"))).alias("t"))
     return by.agg(F.sum("n").alias("rows"), F.sum("t").alias("tokens"))
