@@ -124,8 +124,8 @@ def _forest(a: np.ndarray, b: np.ndarray, radius: int) -> list[np.ndarray]:
         if (low == left).all() and (new == right).all():
             break
         left, right = low, new
-    ends = [np.stack([a[x], a[left[x]]], 1) for x in [np.unique(i)]] + [np.stack([b[y], a[right[y]]], 1) for y in [np.unique(j)]]
-    return ends
+    x, y = np.unique(i), np.unique(j)
+    return [np.stack([a[x], a[left[x]]], 1), np.stack([b[y], a[right[y]]], 1)]
 
 
 def _linked(radius: int):
