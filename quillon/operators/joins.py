@@ -63,15 +63,19 @@ def completion_cap(rows: int, budget: int, cap: int = 512) -> int:
     return min(budget, cap, max(48, 16 + 16 * rows))
 
 
-def pack(sizes: list[int], budget: int, most: int, wanted: int = 16, prompt: int = 0) -> list[int]:
+def pack(sizes: list[int], budget: int, most: int, wanted: int = 16, prompt: int = 0, state: list | None = None) -> list[int]:
     """Batch numbers of rows in order: a batch closes when its rows would be more than most, or leave less than wanted
-    completion tokens a row; a row that alone is too large has a batch of its own."""
-    out, batch, used, rows = [], 0, 0, 0
+    completion tokens a row; a row that alone is too large has a batch of its own.
+
+    state (batch, tokens, rows) carries an open batch from one call to the next.
+    """
+    out, state = [], [0, 0, 0] if state is None else state
     for s in sizes:
+        batch, used, rows = state
         if rows and (rows + 1 > most or budget - prompt - used - s < wanted * (rows + 1)):
             batch, used, rows = batch + 1, 0, 0
         out.append(batch)
-        used, rows = used + s, rows + 1
+        state[:] = batch, used + s, rows + 1
     return out
 
 
@@ -82,11 +86,9 @@ def packed(rows: DataFrame, budget: int = 4096, most: int = 25, wanted: int = 16
     """
 
     def run(batches):
-        frames = list(batches)  # of one range; without text a row is a few numbers
-        if frames:
-            b = pd.concat(frames)
-            if len(b):
-                yield pd.DataFrame({"ordinal": b["ordinal"], "range": b["range"], "batch": pack(b["tokens"].tolist(), budget, most, wanted)})
+        state = [0, 0, 0]
+        for b in batches:
+            yield pd.DataFrame({"ordinal": b["ordinal"], "range": b["range"], "batch": pack(b["tokens"].tolist(), budget, most, wanted, state=state)})
 
     sized = rows.select("ordinal", token_count(F.col("text")).alias("tokens"))
     ranged = sized.repartitionByRange("ordinal").sortWithinPartitions("ordinal").withColumn("range", F.spark_partition_id())
