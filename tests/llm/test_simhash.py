@@ -18,8 +18,8 @@ def brute_print(text):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
-def brute_components(rows):
-    """doc_id to the smallest doc_id reachable; rows: (doc_id, fingerprint)."""
+def brute_components(rows, radius=2):
+    """(doc_id, fingerprint) to the smallest doc_id reachable; rows: (doc_id, fingerprint)."""
     fps = sorted({f for _, f in rows})
     root = {f: f for f in fps}
 
@@ -30,7 +30,7 @@ def brute_components(rows):
 
     a = np.array(fps, np.uint64)
     for i, f in enumerate(fps):
-        for j in np.nonzero(np.bitwise_count(a[i + 1 :] ^ a[i]) <= 2)[0]:
+        for j in np.nonzero(np.bitwise_count(a[i + 1 :] ^ a[i]) <= radius)[0]:
             root[find(fps[i + 1 + int(j)])] = find(f)
     least = {}
     for d, f in rows:
@@ -46,8 +46,8 @@ def test_fingerprints(spark):
     assert got == {i: brute_print(t) for i, t in enumerate(texts)}
 
 
-@pytest.mark.parametrize("blocks", [4, 8])
-def test_components_of_random_and_clustered_prints(spark, blocks):
+@pytest.mark.parametrize("blocks,radius", [(4, 2), (8, 2), (4, 4), (2, 5)])
+def test_components_of_random_and_clustered_prints(spark, blocks, radius):
     rng = random.Random(blocks)
     rows, seeds = [], [rng.getrandbits(64) for _ in range(60)] + [0, 2**64 - 1]
     for s in seeds:
@@ -58,8 +58,8 @@ def test_components_of_random_and_clustered_prints(spark, blocks):
                 f ^= 1 << rng.randrange(64)
     rows += [(rng.randint(0, 10**6), 1 << rng.randrange(64) | 1 << rng.randrange(64)) for _ in range(1500)]
     df = spark.createDataFrame([(d, f - 2**64 if f >= 2**63 else f) for d, f in rows], "doc_id long, fp long")
-    got = df.join(simhash.classes(df, blocks=blocks), "fp").collect()
-    want = brute_components(rows)
+    got = df.join(simhash.classes(df, radius, blocks), "fp").collect()
+    want = brute_components(rows, radius)
     assert len(got) == len(rows)
     assert all(r.component_id == want[(r.doc_id, r.fp % 2**64)] for r in got)
 
