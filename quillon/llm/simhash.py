@@ -32,6 +32,15 @@ SHINGLE, RADIUS = 3, 2
 CHUNK, SIDE = 4 << 20, (1024, 8192)
 
 
+def majority(h: np.ndarray) -> int:
+    """The bits that are set in over half of h."""
+    bits = np.zeros(64, np.int64)
+    for at in range(0, len(h), 1 << 15):
+        some = h[at : at + (1 << 15)]
+        bits += np.unpackbits(some.view(np.uint8).reshape(len(some), 8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
+    return int(np.packbits(2 * bits > len(h), bitorder="little").view(np.uint64)[0])
+
+
 def fingerprint(text: bytes, span: int = SHINGLE) -> int:
     """The fingerprint of a UTF-8 text."""
     import xxhash
@@ -46,11 +55,7 @@ def fingerprint(text: bytes, span: int = SHINGLE) -> int:
     starts = [0, *(e + 1 for e in ends)]
     n = len(w) - span + 1
     h = np.fromiter((digest(joined[s:e], SEED) for s, e in zip(starts, ends[span - 1 :])), np.uint64, n)
-    bits = np.zeros(64, np.int64)
-    for at in range(0, n, 1 << 15):
-        some = h[at : at + (1 << 15)]
-        bits += np.unpackbits(some.view(np.uint8).reshape(len(some), 8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
-    return int(np.packbits(2 * bits > n, bitorder="little").view(np.uint64)[0])
+    return majority(h)
 
 
 def _printed(span: int):
