@@ -2,8 +2,11 @@
 
 Units are the bytes of the UTF-8 text, so no text has a unit outside the vocabulary. The n-grams of every trusted text are
 counted, all of them; joins of count tables by suffix and by context then give continuation counts, discounts, and from
-the lowest order up the interpolated probability of each n-gram and the back-off weight of each context. A text's score is
-its perplexity; it is kept if that is within the quantiles of the trusted texts of its language.
+the lowest order up the interpolated probability of each n-gram and the back-off weight of each context. A text has two
+scores: its perplexity, and the perplexity of its worst window, as a few insults vanish in the mean of a long text. It is kept
+if both are within a quantile of the trusted texts of its language. That of the window is the one of QUANTILES which parts
+trusted from other labelled texts best. A model knows the texts it has counted too well, so for the quantiles each half of the trusted
+texts (equal texts in one half) is scored by a model of the other half.
 
 The model is dealt into shards by the byte before the last, which all parts that one position needs have in common, so that
 each shard has a bounded size; a pass over the texts with a shard scores the positions that fall into it. One shard does
@@ -29,7 +32,11 @@ ORDER = 4
 SHARD_ROWS = 4_000_000
 #: Trusted ids that may be broadcast (8 bytes each); with more, texts are shuffled to them.
 BROADCAST_IDS = 2_000_000
-LOW, HIGH = 0.0, 0.997
+HIGH = 0.997
+#: Quantiles of the worst window to choose from.
+QUANTILES = (0.9, 0.92, 0.94, 0.95, 0.96, 0.97, 0.98, 0.985, 0.99, 0.995, 0.997)
+#: A window is WIDE cells of CELL bytes.
+CELL, WIDE = 8, 2
 CHUNK = 2 << 20
 _MISS = np.float32(1.0)
 
@@ -159,27 +166,41 @@ class Shard:
     def __init__(self, rows: dict[tuple[int, str], tuple[np.ndarray, np.ndarray]], order: int, after: np.ndarray):
         self.rows, self.order, self.after, self.tables = rows, order, after, None
 
-    def log2(self, raw: bytes) -> tuple[float, int]:
-        """Sum of log2 probabilities of the positions that are this shard's, and their number."""
+    def log2(self, raw: bytes) -> np.ndarray:
+        """log2 of the probability at each byte, 0 where the position is another shard's."""
         if self.tables is None:
             self.tables = {x: Table(*v) for x, v in self.rows.items()}
         g = _grams(raw, self.order)
-        if not self.after.all():
-            g = g[self.after[g >> 8 & 255]]
         out, left = np.zeros(len(g), np.float32), np.arange(len(g))
+        if not self.after.all():
+            left = left[self.after[g >> 8 & 255]]
         for k in range(self.order, 0, -1):
+            if not len(left):
+                break
             some = g[left] & ((1 << (8 * k)) - 1)
             p = self.tables[k, "p"].get(some)
             hit = p < _MISS
             out[left[hit]] += p[hit]
             left, some = left[~hit], some[~hit]
-            if not len(left):
-                break
             back = self.tables[k, "back"].get(some >> 8)
             out[left] += np.where(back < _MISS, back, 0)  # an unseen context leaves all to the lower order
             if k == 1:
                 out[left] -= 8
-        return float(out.sum(dtype=np.float64)), len(out)
+        return out
+
+    def cells(self, raw: bytes) -> np.ndarray:
+        """Sums of log2 over each CELL bytes."""
+        return np.add.reduceat(self.log2(raw), np.arange(0, len(raw), CELL), dtype=np.float64) if raw else np.zeros(0)
+
+
+def summed(cells: np.ndarray, n: int) -> tuple[float | None, float | None]:
+    """Bits of a text of n bytes for each byte, and those of its worst window."""
+    if not n:
+        return None, None
+    c = np.concatenate([[0.0], np.cumsum(cells)])
+    at = np.minimum(np.arange(len(c)) * CELL, n)
+    k = min(WIDE, len(cells))
+    return -c[-1] / n, float(np.max((c[:-k] - c[k:]) / (at[k:] - at[:-k])))
 
 
 def shards(rows: DataFrame, order: int = ORDER, most: int = SHARD_ROWS):
@@ -210,31 +231,48 @@ def _scored(shared, names):
     def run(batches):
         shard = shared.value
         for batch in batches:
-            texts = batch.column("text").cast(pa.binary())
-            both = [shard.log2(x.as_py()) for x in texts]
+            texts = [x.as_py() for x in batch.column("text").cast(pa.binary())]
+            both = [summed(shard.cells(x), len(x)) for x in texts]
             kept = [batch.column(n) for n in names]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array([b for b, _ in both], pa.float64()), pa.array([n for _, n in both], pa.int64())], names=[*names, "bits", "n"])
+            yield pa.RecordBatch.from_arrays([*kept, pa.array([b for b, _ in both], pa.float64()), pa.array([w for _, w in both], pa.float64())], names=[*names, "bits", "top"])
 
     return run
 
 
+def _cells(shared):
+    def run(batches):
+        shard = shared.value
+        for batch in batches:
+            texts = [x.as_py() for x in batch.column("text").cast(pa.binary())]
+            cells = pa.array([shard.cells(x).astype(np.float32).tobytes() for x in texts], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("digest"), cells, pa.array([len(x) for x in texts], pa.int64())], names=["digest", "cells", "n"])
+
+    return run
+
+
+def _totals(batches):
+    for batch in batches:
+        both = [summed(np.sum([np.frombuffer(x, np.float32) for x in parts], axis=0, dtype=np.float64), n) for parts, n in zip(batch.column("parts").to_pylist(), batch.column("n").to_pylist())]
+        yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array([b for b, _ in both], pa.float64()), pa.array([w for _, w in both], pa.float64())], names=["digest", "bits", "top"])
+
+
 def perplexities(docs: DataFrame, keys: list[str], rows: DataFrame, order: int = ORDER, most: int = SHARD_ROWS) -> DataFrame:
-    """keys and perplexity of every row of docs (null for an empty text). rows: a model."""
+    """keys, perplexity and worst (that of the worst window) of every row of docs (null for an empty text). rows: a model."""
     sc = docs.sparkSession.sparkContext
-    schema = lambda df, names: T.StructType([df.schema[n] for n in names]).add("bits", "double").add("n", "long")
-    ppl = F.when(F.col("n") > 0, F.pow(F.lit(2.0), -F.col("bits") / F.col("n"))).alias("perplexity")
+    scores = [F.pow(F.lit(2.0), n).alias(x) for n, x in (("bits", "perplexity"), ("top", "worst"))]
     parts = [sc.broadcast(s) for s in shards(rows, order, most)]
     whole = docs.select(*keys, text_of().alias("text"))
     if len(parts) == 1:
-        return whole.mapInArrow(_scored(parts[0], keys), schema(whole, keys)).select(*keys, ppl)
+        schema = T.StructType([whole.schema[n] for n in keys]).add("bits", "double").add("top", "double")
+        return whole.mapInArrow(_scored(parts[0], keys), schema).select(*keys, *scores)
     texts = settle(whole.select("text").groupBy(F.unhex(F.sha2("text", 256)).alias("digest")).agg(F.first("text").alias("text")), "texts")
-    sums = None
+    cells = None
     for p in parts:
-        own = texts.mapInArrow(_scored(p, ["digest"]), schema(texts, ["digest"]))
-        sums = own if sums is None else sums.unionAll(own)
-    total = sums.groupBy("digest").agg(F.sum("bits").alias("bits"), F.sum("n").alias("n"))
+        own = texts.mapInArrow(_cells(p), "digest binary, cells binary, n long")
+        cells = own if cells is None else cells.unionAll(own)
+    total = cells.groupBy("digest").agg(F.collect_list("cells").alias("parts"), F.first("n").alias("n")).mapInArrow(_totals, "digest binary, bits double, top double")
     mine = docs.select(*keys, F.unhex(F.sha2(text_of(), 256)).alias("__digest"))
-    return mine.join(total, mine["__digest"] == total["digest"]).select(*(mine[k] for k in keys), ppl)
+    return mine.join(total, mine["__digest"] == total["digest"]).select(*(mine[k] for k in keys), *scores)
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -242,23 +280,52 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return labels.groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("toxic").alias("t")).where("q = 1 and t = 0 and doc_id is not null").select("doc_id")
 
 
-def classify(docs: DataFrame, labels: DataFrame, order: int = ORDER, low: float = LOW, high: float = HIGH) -> DataFrame:
-    """doc_id, perplexity, least, most (the bounds for its language) and kept of every row of docs (doc_id, text, lang)."""
+def parting(good: DataFrame, others: DataFrame, high: float = HIGH, quantiles=QUANTILES) -> tuple[DataFrame, tuple]:
+    """__lang, __mean, __window (the largest scores that its trusted texts leave to be kept) and the same two for all languages.
+
+    Of quantiles of the window that is taken whose share of trusted texts kept exceeds that of other labelled texts most; of equal ones
+    the largest.
+    """
+    good = good.where("perplexity is not null")
+    at = [F.percentile_approx(c, F.lit(q), F.lit(10_000)).alias(n) for c, q, n in (("perplexity", high, "mean"), ("worst", list(quantiles), "window"))]
+    by = settle(good.groupBy(F.col("lang").alias("__lang")).agg(*at), "bounds")
+    every = good.agg(*at).first()
+    if every["mean"] is None:
+        every = {"mean": None, "window": [None] * len(quantiles)}
+    mean = F.coalesce("mean", F.lit(every["mean"]).cast("double"))
+    window = lambda i: F.coalesce(F.get("window", F.lit(i)), F.lit(every["window"][i]).cast("double"))
+    marked = good.withColumn("__good", F.lit(True)).unionByName(others.withColumn("__good", F.lit(False)))
+    marked = marked.join(F.broadcast(by), marked["lang"].eqNullSafe(by["__lang"]), "left")
+    kept = [F.coalesce((F.col("perplexity") <= mean) & (F.col("worst") <= window(i)), F.lit(False)).cast("double") for i in range(len(quantiles))]
+    shares = {r["__good"]: r for r in marked.groupBy("__good").agg(*(F.avg(k).alias(f"k{i}") for i, k in enumerate(kept))).collect()}
+    share = lambda x, i: shares[x][f"k{i}"] if x in shares else 0.0
+    i = max(range(len(quantiles)), key=lambda i: (share(True, i) - share(False, i), quantiles[i]))
+    return by.select("__lang", F.col("mean").alias("__mean"), F.get("window", F.lit(i)).alias("__window")), (every["mean"], every["window"][i])
+
+
+def classify(docs: DataFrame, labels: DataFrame, order: int = ORDER, high: float = HIGH, quantiles=QUANTILES) -> DataFrame:
+    """doc_id, perplexity, worst, most, worst_most (the bounds for its language) and kept of every row of docs (doc_id, text, lang)."""
     trusted = settle(trusted_ids(labels), "trusted")
+    others = labels.where("doc_id is not null").select("doc_id").distinct().join(trusted, "doc_id", "left_anti")
     ids = F.broadcast(trusted) if trusted.count() <= BROADCAST_IDS else trusted
-    known = docs.where("text is not null and text != ''").select("doc_id", F.col("text").cast("string").alias("text"))
-    fitted = model(counts(known.join(ids, "doc_id", "left_semi"), order), order)
-    scored = settle(perplexities(docs, ["doc_id", "lang"], fitted, order), "perplexity") if not fitted.isEmpty() else docs.select("doc_id", "lang", F.lit(None).cast("double").alias("perplexity"))
-    good = scored.join(trusted, "doc_id", "left_semi").where("perplexity is not null")
-    bounds = [F.percentile_approx("perplexity", q, F.lit(10_000)).alias(n) for n, q in (("least", low), ("most", high))]
-    by = good.groupBy("lang").agg(*bounds).select(F.col("lang").alias("__lang"), F.col("least").alias("__least"), F.col("most").alias("__most"))
-    every = good.agg(*bounds).first()
+    known = docs.where("text is not null and text != ''").select("doc_id", "lang", F.col("text").cast("string").alias("text")).join(ids, "doc_id", "left_semi")
+    halves = [known.where(F.xxhash64("text").bitwiseAND(F.lit(1)) == i) for i in (0, 1)]
+    grams = [settle(counts(h, order), "grams") for h in halves]
+    fitted = model(grams[0].unionAll(grams[1]).groupBy("gram").agg(F.sum("n").alias("n")), order)
+    null = F.lit(None).cast("double")
+    keys = ["doc_id", "lang"]
+    scored = settle(perplexities(docs, keys, fitted, order), "perplexity") if not fitted.isEmpty() else docs.select(*keys, null.alias("perplexity"), null.alias("worst"))
+    if any(g.isEmpty() for g in grams):
+        good = scored.join(trusted, "doc_id", "left_semi")
+    else:
+        held = [perplexities(h, keys, model(g, order), order) for h, g in zip(halves, reversed(grams))]
+        good = settle(held[0].unionAll(held[1]), "held")
+    by, every = parting(good, scored.join(others, "doc_id", "left_semi"), high, quantiles)
     out = scored.join(by, scored["lang"].eqNullSafe(by["__lang"]), "left")
-    least, most = (F.coalesce(c, F.lit(v).cast("double")) for c, v in (("__least", every.least), ("__most", every.most)))
-    if low <= 0:
-        least = F.lit(0.0)
-    out = out.select("doc_id", "perplexity", least.alias("least"), most.alias("most"))
-    return out.withColumn("kept", F.coalesce(F.col("perplexity").between(F.col("least"), F.col("most")), F.lit(False)))
+    most, window = (F.coalesce(c, F.lit(v).cast("double")) for c, v in zip(("__mean", "__window"), every))
+    out = out.select("doc_id", "perplexity", "worst", most.alias("most"), window.alias("worst_most"))
+    kept = (F.col("perplexity") <= F.col("most")) & (F.col("worst") <= F.col("worst_most"))
+    return out.withColumn("kept", F.coalesce(kept, F.lit(False)))
 
 
 def op8_quality_classifier(spark, sf_dir: str) -> DataFrame:

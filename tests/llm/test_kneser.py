@@ -1,5 +1,6 @@
 import math
 import random
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -97,3 +98,35 @@ def test_query(spark):
     good = [got[i].kept for i, r in labels.items() if r.quality == 1]
     bad = [got[i].kept for i, r in labels.items() if r.quality == 0]
     assert sum(good) / len(good) > 0.9 and sum(bad) / len(bad) < 0.7
+
+
+INSULTS = {"clown", "disgusting", "idiot", "loser", "moron", "pathetic", "scum", "stupid", "trash", "worthless"}
+
+
+def test_toxic_recall(spark):
+    d = "/root/testdata/sf0.01"
+    kept = {r.doc_id: r.kept for r in kneser.op8_quality_classifier(spark, d).collect()}
+    labels = spark.read.parquet(f"{d}/labels.parquet").collect()
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+    insulting = [i for i, t in texts.items() if sum(w in INSULTS for w in re.findall(r"\w+", t.lower())) >= 2]
+    lost = lambda ids: sum(not kept[i] for i in ids) / len(ids)
+    assert len(insulting) > 20 and lost(insulting) > 0.95
+    assert lost([r.doc_id for r in labels if r.toxic == 1]) > 0.6
+    assert lost([r.doc_id for r in labels if r.quality == 1 and r.toxic == 0]) < 0.05
+
+
+@pytest.mark.parametrize("most", [10**6, 60])
+def test_worst_window(spark, most):
+    train = corpus(1)
+    df = spark.createDataFrame([(t,) for t in train], "text string")
+    fitted = kneser.model(kneser.counts(df, 3), 3)
+    want = Brute([t.encode() for t in train], 3)
+    other = ["", "a", "abc abc ab", "abc " * 50 + "zzz$$$ " + "abcé " * 50, *corpus(2, 5)]
+    docs = spark.createDataFrame(list(enumerate(other)), "doc_id long, text string")
+    got = {r.doc_id: r.worst for r in kneser.perplexities(docs, ["doc_id"], fitted, 3, most).collect()}
+    for i, t in enumerate(other):
+        b = b"\n\n" + t.encode()
+        bits = [-math.log2(want.p(b[j : j + 3])) for j in range(len(b) - 2)]
+        cells = [bits[j : j + kneser.CELL] for j in range(0, len(bits), kneser.CELL)]
+        wide = [sum(cells[j : j + kneser.WIDE], []) for j in range(max(1, len(cells) - kneser.WIDE + 1))]
+        assert got[i] == (pytest.approx(max(2 ** (sum(w) / len(w)) for w in wide), rel=1e-4) if t else None)
