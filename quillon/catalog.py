@@ -429,20 +429,33 @@ def text_concat_by_id(spark, d):
     return suites.joined_texts(table(spark, d, "conversations"), "conv_id", "text", ["turn"])
 
 
-@query("ngram_log_odds", r"""
-WITH d AS (SELECT quality AS y, lower(text) AS t FROM documents JOIN labels USING (doc_id) WHERE lang = 'en'),
+_LOG_ODDS = r"""
+WITH d AS (SELECT quality AS y, lower(text) AS t FROM documents JOIN labels USING (doc_id)),
 w AS (SELECT row_number() OVER () AS r, y, regexp_extract_all(t, '[a-z0-9'']+') AS w FROM d),
-g AS (SELECT DISTINCT r, y, unnest(w) AS term FROM w),
+g AS (SELECT r, y, unnest(w) AS term FROM w
+  UNION SELECT r, y, w[i] || ' ' || w[i + 1] FROM (SELECT r, y, w, unnest(range(1, len(w))) AS i FROM w)
+  UNION SELECT r, y, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FROM (SELECT r, y, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
 f AS (SELECT term, sum(y)::DOUBLE AS pos, sum(1 - y)::DOUBLE AS neg FROM g GROUP BY 1 HAVING count(*) >= 2),
 n AS (SELECT sum(pos) AS n1, sum(neg) AS n0 FROM f), a AS (SELECT *, 0.01 * (pos + neg) AS a, 0.01 * (n1 + n0) AS s FROM f, n),
 z AS (SELECT term, pos::BIGINT AS pos, neg::BIGINT AS neg, round((ln((pos + a) / (n1 + s - pos - a)) - ln((neg + a) / (n0 + s - neg - a))) / sqrt(1 / (pos + a) + 1 / (neg + a)), 6) AS z FROM a)
-SELECT * FROM z WHERE z > 0""")
+SELECT * FROM z WHERE z > 0"""
+
+
+@query("ngram_log_odds", _LOG_ODDS)
 def ngram_log_odds(spark, d):
-    docs = table(spark, d, "documents").where("lang = 'en'").join(table(spark, d, "labels"), "doc_id")
-    z = dictionary.anchors(docs, "text", "quality", most=1, top=None)
+    """Terms of one to three words of all labelled documents."""
+    docs = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id")
+    z = dictionary.anchors(docs, "text", "quality", most=3, top=None)
     return z.select("term", "pos", "neg", r6(F.col("z"), "z")).where("z > 0")
 
 
+@query("anchor_terms", _LOG_ODDS + " ORDER BY z DESC, term LIMIT 20")
+def anchor_terms(spark, d):
+    """The twenty strongest terms, as a dictionary entry has them."""
+    docs = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id")
+    return dictionary.anchors(docs, "text", "quality", most=3, top=20).select("term", "pos", "neg", r6(F.col("z"), "z"))
+
+
 _TOKENS = "list_filter(list_distinct(regexp_extract_all(lower({}), '[a-z0-9]+')), lambda x: NOT list_contains(['a','an','and','are','as','at','be','by','do','does','for','from','in','is','it','of','on','or','that','the','this','to','was','with'], x))"
 
 

@@ -8,31 +8,43 @@ from bisect import bisect_left, bisect_right
 from dataclasses import dataclass, field
 
 DRAWS, FIT_SEED = 2000, 20240229
-#: Binomials of up to this many trials are drawn exactly, larger ones from a rounded normal.
-EXACT = 64
+#: Cuts between the least and the largest score that thresholds are tried at, besides the scores.
+GRID = 200
 
 
-def beta_quantile(successes: int, failures: int, alpha: float) -> float:
-    """Lower bound that a Beta(1 + successes, 1 + failures) exceeds with probability alpha.
+def beta_below(successes: int, failures: int, x: float) -> float:
+    """P(Beta(1 + successes, 1 + failures) <= x): the chance of more than successes hits in n trials of chance x.
 
-    P(Beta(a, b) <= x) is the chance of a successes or more in a + b - 1 trials of chance x; bisection inverts it.
+    The smaller tail is summed from its largest term by the ratio of neighbours, until terms no longer count, so that the
+    work grows with the deviation (the root of n), not with n.
     """
-    n, a = successes + failures + 1, successes + 1
-    logs = [math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) for k in range(a, n + 1)]
+    if x <= 0 or x >= 1:
+        return float(x >= 1)
+    n, a, odds = successes + failures + 1, successes + 1, x / (1 - x)
+    upper = a > n * x
+    k = a if upper else a - 1
+    term = total = math.exp(math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(x) + (n - k) * math.log1p(-x))
+    while term > total * 1e-18 and 0 < (n - k if upper else k):
+        term *= (n - k) / (k + 1) * odds if upper else k / (n - k + 1) / odds
+        k += 1 if upper else -1
+        total += term
+    return min(total, 1.0) if upper else max(1 - total, 0.0)
 
-    def upto(x: float) -> float:
-        if x <= 0 or x >= 1:
-            return float(x >= 1)
-        lx, ly = math.log(x), math.log1p(-x)
-        return math.fsum(math.exp(c + k * lx + (n - k) * ly) for c, k in zip(logs, range(a, n + 1)))
 
+def beta_quantile(successes: int, failures: int, alpha: float) -> float:
+    """Lower bound that a Beta(1 + successes, 1 + failures) exceeds with probability alpha, by bisection."""
     lo, hi = 0.0, 1.0
     for _ in range(60):
         mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if upto(mid) < 1 - alpha else (lo, mid)
+        lo, hi = (mid, hi) if beta_below(successes, failures, mid) < 1 - alpha else (lo, mid)
     return (lo + hi) / 2
 
 
+def reaches(successes: int, failures: int, target: float, alpha: float) -> bool:
+    """Whether beta_quantile is at least target (less 1e-12), by one look at the distribution."""
+    return target <= 1e-12 or beta_below(successes, failures, target - 1e-12) <= 1 - alpha
+
+
 def half_even(x: float) -> int:
     return round(x)
 
@@ -103,18 +115,13 @@ class Band:
         return self.accept < math.inf or self.reject > -math.inf
 
 
-def _binomial(rng: random.Random, n: int, p: float) -> int:
-    if n <= EXACT:
-        return sum(rng.random() < p for _ in range(n))
-    return min(n, max(0, round(rng.gauss(n * p, math.sqrt(n * p * (1 - p))))))
-
-
 def fit_band(edges: list[float], sizes: list[int], labelled: list[int], positives: list[int], target: float = 0.8, alpha: float = 0.9, draws: int = DRAWS) -> Band:
     """The widest band that posterior draws certify, from counts by stratum.
 
     Each stratum's positive rate has a Beta posterior; a draw gives its unlabelled positives. Rejecting strata below b must
     keep a share target of all positives, and accepting strata from t on must be right at rate target on the unlabelled
-    rows, each at the 1 - alpha quantile of the draws. Labelled rows count with their labels.
+    rows, each at the 1 - alpha quantile of the draws. Labelled rows count with their labels. Positives are drawn from exact
+    binomials of any size, with a fixed seed; a normal stand-in would differ in single draws only.
     """
     k = len(sizes)
     band = Band(sizes=sizes, labelled=labelled, positives=positives)
@@ -122,7 +129,7 @@ def fit_band(edges: list[float], sizes: list[int], labelled: list[int], positive
         return band
     rng = random.Random(FIT_SEED)
     free = [s - m for s, m in zip(sizes, labelled)]
-    drawn = [[_binomial(rng, f, rng.betavariate(1 + y, 1 + m - y)) for f, y, m in zip(free, positives, labelled)] for _ in range(draws)]
+    drawn = [[rng.binomialvariate(f, rng.betavariate(1 + y, 1 + m - y)) for f, y, m in zip(free, positives, labelled)] for _ in range(draws)]
     at = int((1 - alpha) * draws)
     lower = lambda values: sorted(values)[at]
     total = sum(positives)
@@ -154,7 +161,7 @@ def fit_thresholds(scores: list[float], labels: list[int], accept_target: float
     if not scores:
         return math.inf, -math.inf
     lo, hi = min(scores), max(scores)
-    cuts = sorted({*scores, *(lo + (hi - lo) * i / 199 for i in range(200))})
+    cuts = sorted({*scores, *(lo + (hi - lo) * i / (GRID - 1) for i in range(GRID))})
     order = sorted(zip(scores, labels))
     s = [x for x, _ in order]
     pos = [0]
@@ -164,11 +171,11 @@ def fit_thresholds(scores: list[float], labels: list[int], accept_target: float
     for c in cuts:
         above = n - bisect_left(s, c)
         good = pos[n] - pos[n - above]
-        if above > best[0] and beta_quantile(good, above - good, alpha) >= accept_target - 1e-12:
+        if above > best[0] and reaches(good, above - good, accept_target, alpha):
             accept, best = c, (above, best[1])
         below = bisect_right(s, c)
         bad = below - pos[below]
-        if below and below >= best[1] and beta_quantile(bad, below - bad, alpha) >= reject_target - 1e-12:
+        if below and below >= best[1] and reaches(bad, below - bad, reject_target, alpha):
             reject, best = c, (best[0], below)
     if accept <= reject:
         mid = sorted(scores)
@@ -179,9 +186,10 @@ def fit_thresholds(scores: list[float], labels: list[int], accept_target: float
 
 def reject_cut(scores: list[float], labels: list[int], recall: float = 0.9, alpha: float = 0.85) -> float:
     """The largest cut at or below which rows may go, so that the bound on kept positives holds; -inf if none."""
-    total, out = sum(labels), -math.inf
-    for c in sorted(set(scores)):
-        lost = sum(y for s, y in zip(scores, labels) if s <= c)
-        if beta_quantile(total - lost, lost, alpha) >= recall:
+    total, out, lost, order = sum(labels), -math.inf, 0, sorted(zip(scores, labels))
+    for i, (c, y) in enumerate(order):
+        lost += y
+        last = i + 1 == len(order) or order[i + 1][0] != c
+        if last and reaches(total - lost, lost, recall, alpha):
             out = c
     return out

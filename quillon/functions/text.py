@@ -48,15 +48,21 @@ def decade(year: Column) -> Column:
     return (F.floor(year / 10) * 10).cast("int")
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once for each row, whatever the optimizer inlines."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def ngrams(text: Column, most: int = 3) -> Column:
-    """Lower-case n-grams of 1 to most words, an array."""
-    w = F.regexp_extract_all(F.lower(text), F.lit(r"[a-z0-9']+"), F.lit(0))
+    """Lower-case n-grams of 1 to most words, an array. The words are cut once, so the cost is linear in the text."""
 
-    def of(n: int) -> Column:
+    def of(w: Column, n: int) -> Column:
         last = F.size(w) - n + 1
-        return F.when(last >= 1, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.array_join(F.slice(w, i, n), " "))).otherwise(F.array().cast("array<string>"))
+        if n == 1:
+            return w
+        return F.when(last >= 1, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.concat_ws(" ", *(F.element_at(w, i + k) for k in range(n))))).otherwise(F.array().cast("array<string>"))
 
-    return F.concat(*(of(n) for n in range(1, most + 1)))
+    return let(F.regexp_extract_all(F.lower(text), F.lit(r"[a-z0-9']+"), F.lit(0)), lambda w: F.concat(*(of(w, n) for n in range(1, most + 1))))
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -82,6 +88,39 @@ def excerpt(text: str, patterns: list[str], width: int = 300) -> str:
     return ("..." if lo else "") + text[lo:hi].strip() + ("..." if hi < len(text) else "")
 
 
+def excerpt_column(text: Column, patterns: list[str], width: int = 300) -> Column:
+    """excerpt() as a Column: positions come from regexp_instr, so that no row leaves the JVM."""
+    room, space = width - 6, F.lit(" ")
+    found = "(?i)(?:" + "|".join(f"(?:{p})" for p in patterns) + ")" if patterns else None
+
+    def bounds(t: Column) -> Column:
+        n = F.length(t)
+        if found is None:
+            return F.struct(F.lit(None).cast("int").alias("s"), F.lit(None).cast("int").alias("e"), n.alias("n"))
+        at = F.regexp_instr(t, F.lit(found))
+        return F.struct(F.when(at > 0, at - 1).alias("s"), F.when(at > 0, at - 1 + F.length(F.regexp_extract(t, found, 0))).alias("e"), n.alias("n"))
+
+    def low(t: Column, b: Column) -> Column:
+        middle = F.floor((b["s"] + b["e"]) / 2).cast("int") - room // 2
+        lo = F.when(b["s"].isNull(), 0).otherwise(F.greatest(F.lit(0), F.least(middle, b["n"] - room)))
+
+        def moved(lo: Column) -> Column:
+            nxt = F.instr(F.substr(t, lo + 1), " ") - 1  # from lo
+            inside = (lo > 0) & (F.substr(t, lo, F.lit(1)) != space) & (nxt >= 0) & (lo + nxt < F.coalesce(b["s"], lo + room) + 1)
+            return F.struct(F.when(inside, lo + nxt + 1).otherwise(lo).alias("lo"), (lo + room).alias("hi"))
+
+        return let(lo, moved)
+
+    def cut(t: Column, b: Column, x: Column) -> Column:
+        part = F.substr(t, x["lo"] + 1, F.greatest(x["hi"] - x["lo"], F.lit(0)))
+        prev = x["lo"] + F.length(part) - F.length(F.regexp_extract(part, "[^ ]*$", 0)) - 1
+        torn = (x["hi"] < b["n"]) & (F.substr(t, x["hi"] + 1, F.lit(1)) != space) & (prev >= F.coalesce(b["e"], x["lo"])) & part.contains(" ")
+        return let(F.when(torn, prev).otherwise(x["hi"]), lambda hi: F.concat(F.when(x["lo"] > 0, "...").otherwise(""), F.trim(F.substr(t, x["lo"] + 1, hi - x["lo"])), F.when(hi < b["n"], "...").otherwise("")))
+
+    plain = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
+    return let(plain, lambda t: F.when(F.length(t) <= width, t).otherwise(let(bounds(t), lambda b: let(low(t, b), lambda x: cut(t, b, x)))))
+
+
 def unescape(text: str | None) -> str:
     return html.unescape(text or "")
 

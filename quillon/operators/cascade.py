@@ -18,7 +18,7 @@ from quillon.functions import beta
 from quillon.functions.text import BATCH, SHORT
 from quillon.operators.semantic import judged
 from quillon.sources.judges import NO, UNCERTAIN, YES, Judge
-from quillon.sources.stored import store, with_ordinal
+from quillon.sources.stored import prefixed, store, with_ordinal
 
 
 @dataclass(frozen=True)
@@ -50,9 +50,9 @@ class CascadeResult:
 
 
 def histogram(scored: DataFrame) -> DataFrame:
-    """score, n, upto: distinct scores with their counts and the running count. One task sees distinct scores, not rows."""
+    """score, n, upto: distinct scores with their counts and the running count, by ranges of the score."""
     by = scored.where("score is not null").groupBy("score").agg(F.count("*").alias("n"))
-    return by.withColumn("upto", F.sum("n").over(Window.orderBy("score")))
+    return prefixed(by, ["score"], {"n": "upto"}).withColumn("upto", F.col("upto") + F.col("n"))
 
 
 def edges(hist: DataFrame, strata: int) -> list[float]:
@@ -89,14 +89,10 @@ def sample(scored: DataFrame, cuts: list[float], sizes: list[int], budget: int,
         before += size
     if not wanted:
         return rows.where("false").select("id")
-    # budget rows at most: the wanted ranks, each in the run of equal scores that holds it
+    # budget ranks at most; a run of equal scores is spread over tasks, as the order goes on by id
     ranks = spark.createDataFrame([(w,) for w in wanted], "rank long")
-    hist = histogram(scored)
-    at = F.broadcast(ranks).join(hist, (F.col("rank") > F.col("upto") - F.col("n")) & (F.col("rank") <= F.col("upto")))
-    at = store(at.select(F.col("score").alias("s"), (F.col("rank") - (F.col("upto") - F.col("n"))).alias("k")), "ranks")
-    runs = rows.join(F.broadcast(at.select("s").distinct()), F.col("score") == F.col("s"), "left_semi")
-    runs = runs.withColumn("k", F.row_number().over(Window.partitionBy("score").orderBy("id")).cast("long"))
-    return runs.alias("r").join(F.broadcast(at), (F.col("r.score") == F.col("s")) & (F.col("r.k") == at["k"])).select("r.id")
+    ranked = with_ordinal(rows.select("id", "score"), "score", "id")
+    return ranked.join(F.broadcast(ranks), F.col("ordinal") == F.col("rank"), "left_semi").select("id")
 
 
 def counts_by_stratum(scored: DataFrame, cuts: list[float], labels: DataFrame | None = None) -> tuple[list[int], list[int], list[int]]:
@@ -292,14 +288,40 @@ def agreement(decisions: DataFrame) -> DataFrame:
 
 
 def profile(scored: DataFrame, accept_target: float = 0.9, reject_target: float = 0.9, alpha: float = 0.9) -> DataFrame:
-    """question, accept, reject, n for each question of scored (question, score, label): a fit for each group of labels."""
+    """question, accept, reject, n for each question of scored (question, score, label): as beta.fit_thresholds for each.
 
-    def fit(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.dropna()
-        a, r = beta.fit_thresholds(g["score"].tolist(), g["label"].astype(int).tolist(), accept_target, reject_target, alpha)
-        return pd.DataFrame({"question": [g["question"].iloc[0]], "accept": [a], "reject": [r], "n": [len(g)]})
-
-    return scored.where("score is not null and label is not null").select("question", "score", "label").groupBy("question").applyInPandas(fit, "question string, accept double, reject double, n long")
+    Every distinct score is a row with the running counts of its question; the bounds are tested row by row, and the widest
+    cuts that hold are an aggregate, so no question's rows meet in one task.
+    """
+    by = scored.where("score is not null and label is not null and not isnan(score)").groupBy("question", F.col("score").cast("double").alias("score")).agg(F.count("*").alias("n"), F.sum(F.col("label").cast("long")).alias("pos"))
+    ran = prefixed(by, ["question", "score"], {"n": "__n", "pos": "__pos"})
+    total = ran.groupBy("question").agg(F.min("__n").alias("n0"), F.min("__pos").alias("pos0"), F.sum("n").alias("all"), F.sum("pos").alias("good"), F.min("score").alias("lo"), F.max("score").alias("hi"))
+    rows = ran.join(total.withColumnRenamed("question", "__q"), F.col("question").eqNullSafe(F.col("__q")))
+    below, pos = F.col("__n") - F.col("n0"), F.col("__pos") - F.col("pos0")  # before this score
+    rows = rows.select("question", "score", "n", "pos", "all", "good", "lo", "hi", below.alias("before"), pos.alias("pos_before"))
+
+    def held(batches):
+        for b in batches:
+            above, good = b["all"] - b["before"], b["good"] - b["pos_before"]
+            upto, bad = b["before"] + b["n"], b["before"] + b["n"] - b["pos_before"] - b["pos"]
+            accepts = [beta.reaches(int(g), int(a - g), accept_target, alpha) for g, a in zip(good, above)]
+            rejects = [beta.reaches(int(x), int(u - x), reject_target, alpha) for x, u in zip(bad, upto)]
+            yield b.assign(accepts=accepts, rejects=rejects)
+
+    rows = store(rows.mapInPandas(held, rows.select("*").schema.add("accepts", "boolean").add("rejects", "boolean")), "profile")
+    upto = F.col("before") + F.col("n")
+    mids = [F.min(F.when(upto > F.floor(x), F.col("score"))) for x in ((F.col("all") - 1) / 2, F.col("all") / 2)]
+    cut = rows.groupBy("question").agg(F.min(F.when(F.col("accepts"), F.col("score"))).alias("a"), F.max(F.when(F.col("rejects"), F.col("score"))).alias("r"), F.max("all").alias("n"), F.max("lo").alias("lo"), F.max("hi").alias("hi"), ((mids[0] + mids[1]) / 2).alias("mid"))
+    # the next scores to either side, between which cuts on the grid decide the same rows
+    other = rows.select(F.col("question").alias("__q"), F.col("score").alias("s"))
+    sides = cut.join(other, F.col("question").eqNullSafe(F.col("__q"))).groupBy("question").agg(*(F.first(c).alias(c) for c in ("a", "r", "n", "lo", "hi", "mid")), F.max(F.when(F.col("s") < F.col("a"), F.col("s"))).alias("down"), F.min(F.when(F.col("s") > F.col("r"), F.col("s"))).alias("up"))
+    grid = F.transform(F.sequence(F.lit(0), F.lit(beta.GRID - 1)), lambda i: F.col("lo") + (F.col("hi") - F.col("lo")) * i / F.lit(beta.GRID - 1.0))
+    least = F.coalesce(F.array_min(F.filter(grid, lambda g: (g > F.col("down")) & (g <= F.col("a")))), F.col("a"))
+    most = F.coalesce(F.array_max(F.filter(grid, lambda g: (g < F.col("up")) & (g >= F.col("r")))), F.col("r"))
+    accept = F.coalesce(F.when(F.col("down").isNull(), F.col("a")).otherwise(least), F.lit(math.inf))
+    reject = F.coalesce(F.when(F.col("up").isNull(), F.col("r")).otherwise(most), F.lit(-math.inf))
+    crossed = accept <= reject
+    return sides.select("question", F.when(crossed, F.col("mid")).otherwise(accept).alias("accept"), F.when(crossed, F.col("mid")).otherwise(reject).alias("reject"), "n")
 
 
 def simulate(spark, trials: int, rows: int = 200, positive: float = 0.3, shift: float = 2.0, config: CascadeConfig = CascadeConfig(budget=40)) -> DataFrame:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.functions.text import excerpt, jaccard, ngrams
+from quillon.functions.text import excerpt_column, ngrams
 from quillon.plans.predicates import pattern_mask
+from quillon.sources.stored import store
 
 # Words that say nothing of a concept.
 STOPWORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "do", "does", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "with")
@@ -30,24 +30,43 @@ def concept_tokens(text: Column) -> Column:
     return F.array_except(F.array_distinct(w), F.array(*map(F.lit, STOPWORDS)))
 
 
+#: Tokens of concept phrases that may be broadcast; with more, the join shuffles.
+BROADCAST_TOKENS = 200_000
+
+
 def match_concepts(questions: DataFrame, concepts: DataFrame, least: float = 0.2) -> DataFrame:
     """id, concept, similarity: the concept that the question contains, else the nearest by Jaccard of tokens, if near enough.
 
-    questions: id, text. concepts: concept, phrase; a small table, in no need of a shuffle.
+    questions: id (a key), text. concepts: concept, phrase. Pairs meet by a shared token. While the phrases are few they go
+    to the texts and only ids and counts are shuffled; else texts are shuffled once, for the pairs that can contain a phrase.
     """
-    q = questions.select("id", "text", F.explode_outer(concept_tokens(F.col("text"))).alias("tok"))
-    c = concepts.select("concept", "phrase", F.explode(concept_tokens(F.col("phrase"))).alias("tok"))
-    near = q.join(F.broadcast(c), "tok").select("id", "text", "concept", "phrase").distinct()
+    c = concepts.select("concept", "phrase", concept_tokens(F.col("phrase")).alias("toks")).withColumn("m", F.size("toks"))
+    c = store(c.select("concept", "phrase", "m", F.explode("toks").alias("tok")), "concepts")
+    q = questions.select("id", "text", concept_tokens(F.col("text")).alias("toks")).withColumn("n", F.size("toks"))
     inside = F.contains(F.lower("text"), F.lower("phrase"))
-    sim = F.when(inside, 1.0).otherwise(jaccard(concept_tokens(F.col("text")), concept_tokens(F.col("phrase"))))
-    s = near.select("id", "concept", sim.alias("similarity"), inside.alias("inside")).where(F.col("similarity") >= least)
-    n = F.row_number().over(Window.partitionBy("id").orderBy(F.col("inside").desc(), F.col("similarity").desc(), "concept"))
-    return s.withColumn("n", n).where("n = 1").select("id", "concept", "similarity")
+    counts = [F.count("*").alias("common"), F.first("n").alias("n"), F.first("m").alias("m")]
+    if c.count() <= BROADCAST_TOKENS:
+        met = q.select("id", "text", "n", F.explode("toks").alias("tok")).join(F.broadcast(c), "tok")
+        near = met.select("id", "n", "concept", "m", inside.alias("inside")).groupBy("id", "concept").agg(*counts, F.max("inside").alias("inside"))
+    else:
+        met = q.select("id", "n", F.explode("toks").alias("tok")).join(c.select("tok", "concept", "m"), "tok")
+        near = store(met.groupBy("id", "concept").agg(*counts), "near")
+        # a phrase inside a text shares all its tokens but the first and the last, which may be parts of longer ones
+        maybe = near.where("common >= m - 2").select("id", "concept").join(c.select("concept", "phrase").distinct(), "concept")
+        held = questions.join(maybe, "id").where(inside).select("id", "concept").distinct().withColumn("inside", F.lit(True))
+        near = near.join(held, ["id", "concept"], "left").withColumn("inside", F.coalesce("inside", F.lit(False)))
+    sim = F.when(F.col("inside"), 1.0).otherwise(F.col("common") / (F.col("n") + F.col("m") - F.col("common")))
+    ranked = near.select("id", "concept", sim.alias("similarity"), "inside").where(F.col("similarity") >= least)
+    # of equal ones the first by name: a minimum over the negated rank needs no window over an id's rows
+    key = F.struct((~F.col("inside")).alias("out"), (-F.col("similarity")).alias("far"), F.col("concept").alias("concept"))
+    got = ranked.groupBy("id").agg(F.min(key).alias("b"))
+    return got.select("id", "b.concept", (-F.col("b.far")).alias("similarity"))
 
 
 def split_tag(key: Column, seed: str, share: int = 70) -> Column:
-    """'dictionary' for share per cent of the keys, 'evaluation' for the others, by a seeded hash."""
-    return F.when(F.pmod(F.xxhash64(F.lit(seed), key), F.lit(100)) < share, "dictionary").otherwise("evaluation")
+    """'dictionary' for share per cent of the keys, 'evaluation' for the others, by a seeded hash that any engine has (MD5)."""
+    h = F.conv(F.left(F.md5(F.concat(F.lit(seed + ":"), key.cast("string"))), F.lit(8)), 16, 10).cast("long")
+    return F.when(h % 100 < share, "dictionary").otherwise("evaluation")
 
 
 def proxy_labels(text: str, seeds: list[str], topic: list[str]) -> Column:
@@ -82,26 +101,27 @@ def hashed_embedding(df: DataFrame, key: str, text: str, size: int = 512) -> Dat
     return g.select(key, F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0.0)) / F.col("len")).alias("vector"))
 
 
+def nearest_rows(df: DataFrame, key: str, vector: str, centres: list[list[float]]) -> DataFrame:
+    """cluster, key: for each centre the row nearest to it among the rows that have no nearer centre; ties by key.
+
+    centres: a short list; it travels as a literal."""
+    far = lambda c: F.aggregate(F.zip_with(F.col(vector), F.array(*map(F.lit, c)), lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
+    to = F.array(*(F.struct(far(c).alias("far"), F.lit(i).alias("cluster")) for i, c in enumerate(centres)))
+    near = df.select(key, F.array_min(to).alias("b")).select(key, "b.far", "b.cluster")
+    return near.groupBy("cluster").agg(F.min(F.struct("far", key)).alias("b")).select("cluster", f"b.{key}")
+
+
 def exemplars(df: DataFrame, key: str, vector: str, k: int, seed: int = 1) -> DataFrame:
     """cluster, key: the row nearest to each of k centres (k-means||, then Lloyd)."""
     from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.functions import array_to_vector
 
-    v = df.select(key, array_to_vector(F.col(vector)).alias("features"))
-    fitted = KMeans(k=k, seed=seed, maxIter=100).fit(v)
-    centres = [[float(x) for x in c] for c in fitted.clusterCenters()]
-    at = F.element_at(F.array(*(F.array(*map(F.lit, c)) for c in centres)), F.col("prediction") + 1)
-    far = F.aggregate(F.zip_with(vector_to_array("features"), at, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
-    near = fitted.transform(v).select(key, "prediction", far.alias("far"))
-    return near.groupBy(F.col("prediction").alias("cluster")).agg(F.min_by(key, F.struct("far", key)).alias(key))
+    fitted = KMeans(k=k, seed=seed, maxIter=100).fit(df.select(array_to_vector(F.col(vector)).alias("features")))
+    return nearest_rows(df, key, vector, [[float(x) for x in c] for c in fitted.clusterCenters()])
 
 
 def excerpts(df: DataFrame, text: str, patterns: list[str], width: int = 300, out: str = "excerpt") -> DataFrame:
-    @F.pandas_udf("string")
-    def cut(t: pd.Series) -> pd.Series:
-        return t.map(lambda x: excerpt(x, patterns, width))
-
-    return df.withColumn(out, cut(F.col(text)))
+    return df.withColumn(out, excerpt_column(F.col(text), patterns, width))
 
 
 def first_by_concept(df: DataFrame, order: list[str], each: int = 4) -> DataFrame:

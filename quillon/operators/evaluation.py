@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.text import wilson
+from quillon.sources.stored import prefixed
 
 PRICE = 3.0  # of an accelerator-hour
 
@@ -51,7 +52,7 @@ def pareto(df: DataFrame, key: str, low: str, high: str) -> DataFrame:
     Rows are summed up by low; a running maximum of high over smaller lows then decides, so rows never meet in pairs.
     """
     best = df.groupBy(low).agg(F.max(high).alias("__top"))
-    over = best.withColumn("__before", F.max("__top").over(Window.orderBy(low).rowsBetween(Window.unboundedPreceding, -1)))
+    over = prefixed(best, [low], {"__top": "__before"}, "max")
     on = over.where(F.col("__before").isNull() | (F.col("__top") > F.col("__before"))).select(F.col(low).alias("__low"), "__top")
     return df.join(on, (F.col(low) == F.col("__low")) & (F.col(high) == F.col("__top"))).select(df.columns)
 
@@ -68,20 +69,25 @@ def crossover(df: DataFrame, n: str, method: str, base: str, other: str, value:
 
 
 def auc(df: DataFrame, score: str, label: str) -> DataFrame:
-    """auc by mean ranks of ties, from counts by score: no pair is formed and one task sees distinct scores only."""
+    """auc by mean ranks of ties, from counts by score: no pair is formed and no task sees all scores."""
     by = df.groupBy(score).agg(F.sum(F.col(label).cast("long")).alias("pos"), F.count("*").alias("n"))
-    by = by.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    by = prefixed(by, [score], {"n": "before"})
     t = by.agg(F.sum(F.col("pos") * (F.col("before") + (F.col("n") + 1) / 2)).alias("r"), F.sum("pos").alias("p"), F.sum(F.col("n") - F.col("pos")).alias("q"))
     return t.select(F.try_divide(F.col("r") - F.col("p") * (F.col("p") + 1) / 2, F.col("p") * F.col("q")).alias("auc"))
 
 
 def index_percentiles(df: DataFrame, by: str, value: str, shares=(0.5, 0.9)) -> DataFrame:
-    """by, n, mean and, for each share, the value at index floor(share * (n - 1)) of the sorted values."""
-    counts = df.groupBy(by, value).agg(F.count("*").alias("c"))
-    w = Window.partitionBy(by).orderBy(value)
-    ends = counts.withColumns({"upto": F.sum("c").over(w), "n": F.sum("c").over(Window.partitionBy(by))})
+    """by, n, mean and, for each share, the value at index floor(share * (n - 1)) of the sorted values (null ones aside).
+
+    Running counts come from a sort by (by, value) in ranges, so that a group of any size is spread over tasks.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("c"))
+    ends = prefixed(counts, [by, value], {"c": "before"})
+    total = ends.groupBy(by).agg(F.min("before").alias("first"), F.sum("c").alias("n"), F.try_divide(F.sum(F.col(value) * F.col("c")), F.sum("c")).alias("mean"))
+    total = total.withColumnRenamed(by, "__by")
+    placed = ends.join(total, F.col(by).eqNullSafe(F.col("__by"))).withColumn("upto", F.col("before") - F.col("first") + F.col("c"))
     picks = [F.min(F.when(F.col("upto") > F.floor(F.lit(s) * (F.col("n") - 1)), F.col(value))).alias(f"p{int(s * 100)}") for s in shares]
-    return ends.groupBy(by).agg(F.max("n").alias("n"), F.try_divide(F.sum(F.col(value) * F.col("c")), F.max("n")).alias("mean"), *picks)
+    return placed.groupBy(by).agg(F.max("n").alias("n"), F.max("mean").alias("mean"), *picks)
 
 
 def routing_shares(df: DataFrame, group: str, route: str, routes: list[str]) -> DataFrame:

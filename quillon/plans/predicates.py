@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,19 +30,36 @@ def pattern_evidence(column: str, patterns: Iterable[str]) -> Column:
     return F.regexp_extract(F.col(column), "(?i)(?:" + "|".join(f"(?:{p})" for p in patterns) + ")", 0)
 
 
-def predicate(column: str, op: str, value, numeric: bool) -> Column:
-    """One predicate. Rows whose value is null or no number don't pass."""
+#: Types whose columns compare as they are, so that the comparison reaches the scan.
+NUMBERS = ("tinyint", "smallint", "int", "bigint", "float", "double")
+
+
+def _number(value):
+    x = float(value)
+    return int(x) if x.is_integer() else x
+
+
+def predicate(column: str, op: str, value, numeric: bool, kind: str = "string") -> Column:
+    """One predicate. Rows whose value is null or no number don't pass.
+
+    kind: the column's type. A numeric column is compared with a plain literal, which the scan takes; strings compare
+    whatever their case, which no scan can, so only their being there is pushed down.
+    """
     c = F.col(column)
-    if op == "in":
-        values = [str(v).lower() for v in value]
-        return F.lower(c.cast("string")).isin(values) if not numeric else c.try_cast("double").isin([float(v) for v in value])
     if op == "contains":
         return like_any_case(column, str(value))
     if op == "contains_any":
         return word_match(column, *(v for v in str(value).split("|") if v))
-    if op not in COMPARE:
+    if op != "in" and op not in COMPARE:
         raise ValueError(f"unknown operation {op!r}")
-    left, right = (c.try_cast("double"), F.lit(float(value))) if numeric else (F.lower(c.cast("string")), F.lit(str(value).lower()))
+    if numeric:
+        left = c if kind in NUMBERS or kind.startswith("decimal") else c.try_cast("double")
+        right = [_number(v) for v in value] if op == "in" else _number(value)
+    else:
+        left = F.lower(c.cast("string"))
+        right = [str(v).lower() for v in value] if op == "in" else str(value).lower()
+    if op == "in":
+        return left.isin(right)
     return {"eq": left == right, "ne": left != right, "lt": left < right, "le": left <= right, "gt": left > right, "ge": left >= right}[op]
 
 
@@ -51,15 +67,16 @@ def apply_predicates(df: DataFrame, predicates: list[dict], numeric: Iterable[st
     """Rows of df that pass all predicates (dicts with column, op, value).
 
     strict: an unknown column is an error; otherwise its predicate is left out. An unknown operation is always an error.
+    Each predicate is a filter of its own, so that Catalyst can push down those that the scan understands.
     """
-    numeric, kept = set(numeric), []
+    numeric, kinds = set(numeric), dict(df.dtypes)
     for p in predicates:
-        if p["column"] not in df.columns:
+        if p["column"] not in kinds:
             if strict:
                 raise KeyError(f"no column {p['column']!r}")
             continue
-        kept.append(F.coalesce(predicate(p["column"], p["op"], p["value"], p["column"] in numeric), F.lit(False)))
-    return df.where(reduce(lambda a, b: a & b, kept)) if kept else df
+        df = df.where(predicate(p["column"], p["op"], p["value"], p["column"] in numeric, kinds[p["column"]]))
+    return df
 
 
 FORBIDDEN = re.compile(r"\b(?:attach|detach|pragma|insert|update|delete|drop|alter|create|replace|vacuum|merge|truncate|grant|revoke|load|refresh|cache)\b", re.IGNORECASE)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -45,3 +45,28 @@ def with_ordinal(df: DataFrame, *order, name: str = "ordinal") -> DataFrame:
     by = df.sparkSession.createDataFrame(offsets, "__p int, __offset long")
     out = kept.join(F.broadcast(by), F.col("__part") == F.col("__p"))
     return out.withColumn(name, F.col("__offset") + F.col("__mono").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("__part", "__mono", "__p", "__offset")
+
+
+def prefixed(df: DataFrame, order: list[str], values: dict[str, str], how: str = "sum") -> DataFrame:
+    """df with, for each column of values, a new column (its value): the sum (or max) of it over all rows before by order.
+
+    order must be unique. Rows are dealt by ranges of the order; a window runs within each range, and what the ranges
+    before it add is one row for each range, so no task ever sees all rows. Before the first row a sum is 0, a max null.
+    """
+    f = {"sum": F.sum, "max": F.max}[how]
+    ranged = store(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), "ranged")
+    lows = F.min(F.struct(*order)).alias("__low")
+    parts = ranged.groupBy("__part").agg(lows, *(f(c).alias(f"__{i}") for i, c in enumerate(values))).orderBy("__low").collect()
+    upto, offsets = [0 if how == "sum" else None] * len(values), []
+    for r in parts:
+        offsets.append((r["__part"], *upto))
+        for i in range(len(values)):
+            x = r[f"__{i}"]
+            upto[i] = upto[i] if x is None else x if upto[i] is None else upto[i] + x if how == "sum" else max(upto[i], x)
+    kinds = dict(ranged.groupBy().agg(*(f(c).alias(f"__{i}") for i, c in enumerate(values))).dtypes)
+    by = df.sparkSession.createDataFrame(offsets, ", ".join(["__p int", *(f"__o{i} {kinds[f'__{i}']}" for i in range(len(values)))]))
+    before = Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    joined = ranged.join(F.broadcast(by), F.col("__part") == F.col("__p"))
+    plus = (lambda a, b: F.coalesce(a, F.lit(0)) + b) if how == "sum" else F.greatest
+    made = {name: plus(f(c).over(before), F.col(f"__o{i}")) for i, (c, name) in enumerate(values.items())}
+    return joined.withColumns(made).drop("__part", "__p", *(f"__o{i}" for i in range(len(values))))

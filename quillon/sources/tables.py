@@ -70,8 +70,12 @@ def text_rows(df: DataFrame, entity_aliases=("entity_id", "tconst", "product_id"
         return t.map(unescape)
 
     e, t = pick_column(df.columns, *entity_aliases), pick_column(df.columns, *text_aliases)
-    body = F.trim(F.regexp_replace(F.regexp_replace(plain(F.col(t)), r"<[^>]*>", " "), r"\s+", " "))
-    rows = df.select(F.col(e).cast("string").alias("entity_id"), body.alias("text")).where("text != ''").dropDuplicates()
+    # only texts with an entity go to Python; most have none
+    raw = df.select(F.col(e).cast("string").alias("entity_id"), F.col(t).alias("raw"))
+    escaped = F.coalesce(F.contains("raw", F.lit("&")), F.lit(False))
+    raw = raw.where(~escaped).unionByName(raw.where(escaped).withColumn("raw", plain(F.col("raw"))))
+    body = F.trim(F.regexp_replace(F.regexp_replace("raw", r"<[^>]*>", " "), r"\s+", " "))
+    rows = raw.select("entity_id", body.alias("text")).where("text != ''").dropDuplicates()
     return rows.select(F.left(F.sha2(F.concat("entity_id", F.lit("\0"), "text"), 256), F.lit(24)).alias("text_id"), "entity_id", "text")
 
 
