@@ -37,24 +37,21 @@ BROADCAST_TOKENS = 200_000
 def match_concepts(questions: DataFrame, concepts: DataFrame, least: float = 0.2) -> DataFrame:
     """id, concept, similarity: the concept that the question contains, else the nearest by Jaccard of tokens, if near enough.
 
-    questions: id (a key), text. concepts: concept, phrase. Pairs meet by a shared token. While the phrases are few they go
-    to the texts and only ids and counts are shuffled; else texts are shuffled once, for the pairs that can contain a phrase.
+    questions: id (a key), text. concepts: concept, phrase. Pairs meet by a shared token and are counted as ids; texts meet
+    phrases only where the count says that the text can contain the phrase. Stop words can't be shared: a phrase of nothing
+    else matches nothing.
     """
     c = concepts.select("concept", "phrase", concept_tokens(F.col("phrase")).alias("toks")).withColumn("m", F.size("toks"))
     c = store(c.select("concept", "phrase", "m", F.explode("toks").alias("tok")), "concepts")
-    q = questions.select("id", "text", concept_tokens(F.col("text")).alias("toks")).withColumn("n", F.size("toks"))
-    inside = F.contains(F.lower("text"), F.lower("phrase"))
-    counts = [F.count("*").alias("common"), F.first("n").alias("n"), F.first("m").alias("m")]
-    if c.count() <= BROADCAST_TOKENS:
-        met = q.select("id", "text", "n", F.explode("toks").alias("tok")).join(F.broadcast(c), "tok")
-        near = met.select("id", "n", "concept", "m", inside.alias("inside")).groupBy("id", "concept").agg(*counts, F.max("inside").alias("inside"))
-    else:
-        met = q.select("id", "n", F.explode("toks").alias("tok")).join(c.select("tok", "concept", "m"), "tok")
-        near = store(met.groupBy("id", "concept").agg(*counts), "near")
-        # a phrase inside a text shares all its tokens but the first and the last, which may be parts of longer ones
-        maybe = near.where("common >= m - 2").select("id", "concept").join(c.select("concept", "phrase").distinct(), "concept")
-        held = questions.join(maybe, "id").where(inside).select("id", "concept").distinct().withColumn("inside", F.lit(True))
-        near = near.join(held, ["id", "concept"], "left").withColumn("inside", F.coalesce("inside", F.lit(False)))
+    side = c.select("tok", "concept", "m")
+    q = questions.select("id", F.explode(concept_tokens(F.col("text"))).alias("tok"))
+    sizes = questions.select("id", F.size(concept_tokens(F.col("text"))).alias("n"))
+    met = q.join(F.broadcast(side) if c.count() <= BROADCAST_TOKENS else side, "tok")
+    near = store(met.groupBy("id", "concept").agg(F.count("*").alias("common"), F.first("m").alias("m")).join(sizes, "id"), "near")
+    # a phrase inside a text shares all its tokens but the first and the last, which may be parts of longer ones
+    maybe = near.where("common >= m - 2").select("id", "concept").join(c.select("concept", "phrase").distinct(), "concept")
+    held = questions.join(maybe, "id").where(F.contains(F.lower("text"), F.lower("phrase"))).select("id", "concept").distinct().withColumn("inside", F.lit(True))
+    near = near.join(held, ["id", "concept"], "left").withColumn("inside", F.coalesce("inside", F.lit(False)))
     sim = F.when(F.col("inside"), 1.0).otherwise(F.col("common") / (F.col("n") + F.col("m") - F.col("common")))
     ranked = near.select("id", "concept", sim.alias("similarity"), "inside").where(F.col("similarity") >= least)
     # of equal ones the first by name: a minimum over the negated rank needs no window over an id's rows
