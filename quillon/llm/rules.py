@@ -1,16 +1,21 @@
 """Quality rules as a short-circuit cascade, by DataFrame functions only.
 
-features() gives each text's counts. A rule is a name and a condition on those counts and the text that rejects it. plan()
-measures each rule on a bounded sample: the share that it rejects and the seconds that it takes. The cascade asks the rules
-in order of rejections per second, so that most rejected texts pay for one rule; a rule is evaluated only for texts that
-all before it let through. The order can differ between runs, the verdict can't: a text is kept if no rule rejects it.
+A rule is a name, the counts that it needs and a condition on them that rejects a text. plan() measures each rule on a
+bounded sample: the share that it rejects and the seconds that it takes, its counts included. The cascade asks the rules in
+order of rejections per second; a rule, and each count that no rule before it needed, is evaluated only for texts that all
+rules before it let through. The order can differ between runs, the verdict can't: a text is kept if no rule rejects it.
 
-Windows of five words are compared within one text by a chained 64-bit hash of their words. Only texts in which a hash
-occurs twice are sorted for the positions; the others have no repeated words.
+keep() filters by the whole cascade, the base rules among the others. judge() returns the counts as well, so there they are
+worked out for every text and the cascade only chooses among the conditions.
 
-Defined results: a null text counts as empty; an empty text has no words and fails the base rule; an empty table gives an
+Windows of five words are compared within one text by a 64-bit hash of their words: two different windows of a text of n
+words are taken for equal with a chance below n * n / 2 ** 65. Only texts in which a hash occurs twice are sorted for the
+positions; the others have no repeated words.
+
+Defined results: a null text counts as empty; an empty text has no words and fails the base rules; an empty table gives an
 empty result (the rules then keep their given order); rows are judged one by one, so ties and repeated rows get the same
-verdict; other columns are left alone, whatever their names.
+verdict; very long texts take time in proportion to their length (sorting aside); other columns are left alone, and a column
+named as judge()'s result is an error.
 """
 
 from __future__ import annotations
@@ -25,8 +30,10 @@ from quillon.llm._common import WORD, let, settle, words
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
-#: Rows on which the rules' costs and selectivities are estimated; a bound of the estimate, not of what is judged.
+#: Rows, about, on which the rules' costs and selectivities are estimated; a bound of the estimate, not of what is judged.
 SAMPLE_ROWS = 2000
+#: Tasks over which the sample is spread.
+SAMPLE_PARTS = 8
 
 
 def _repeated(w: Column, span: int = WINDOW) -> Column:
@@ -56,36 +63,57 @@ def _repeated(w: Column, span: int = WINDOW) -> Column:
     return F.when(F.size(w) > span, let(hashed(w), some)).otherwise(zero)
 
 
-def features(text: Column) -> Column:
-    """A struct of n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words (long) of a text."""
-    lines = lambda t: F.filter(F.split(t, "\n", -1), lambda x: x.rlike(WORD))
+def _long(c: Column) -> Column:
+    return c.cast("long")
+
+
+# What rules can need: from the text and what they need themselves, in an order in which each can be made.
+MADE = {
+    "words": ((), lambda e: words(e["text"])),
+    "n_words": (("words",), lambda e: _long(F.size(e["words"]))),
+    "word_chars": ((), lambda e: _long(F.length(F.translate(e["text"], " \t\n\x0b\x0c\r", "")))),
+    "n_symbols": ((), lambda e: _long(F.length(e["text"]) - F.length(F.translate(e["text"], SYMBOLS, "")))),
+    "lines": ((), lambda e: F.filter(F.split(e["text"], "\n", -1), lambda x: x.rlike(WORD))),
+    "n_lines": (("lines",), lambda e: _long(F.size(e["lines"]))),
+    "n_dup_lines": (("lines",), lambda e: _long(F.size(e["lines"]) - F.size(F.array_distinct(e["lines"])))),
+    "n_repeat_words": (("words",), lambda e: _repeated(e["words"])),
+}
+NAMES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
 
-    def counted(t: Column, w: Column, x: Column) -> Column:
-        made = {
-            "n_words": F.size(w),
-            "word_chars": F.aggregate(w, F.lit(0).cast("long"), lambda n, v: n + F.length(v)),
-            "n_symbols": F.length(t) - F.length(F.translate(t, SYMBOLS, "")),
-            "n_lines": F.size(x),
-            "n_dup_lines": F.size(x) - F.size(F.array_distinct(x)),
-            "n_repeat_words": _repeated(w),
-        }
-        return F.struct(*(c.cast("long").alias(k) for k, c in made.items()))
 
-    whole = F.coalesce(text.cast("string"), F.lit(""))
-    return let(whole, lambda t: let(words(t), lambda w: let(lines(t), lambda x: counted(t, w, x))))
+def _with(needs, env: dict, body) -> Column:
+    """body(env with needs): what env lacks is computed once for each row that gets here."""
+    for n in needs:
+        if n not in env:
+            before, make = MADE[n]
+            if any(b not in env for b in before):
+                return _with(before, env, lambda e: _with(needs, e, body))
+            return let(make(env), lambda c: _with(needs, env | {n: c}, body))
+    return body(env)
+
+
+def whole(text: Column) -> Column:
+    return F.coalesce(text.cast("string"), F.lit(""))
+
+
+def features(text: Column) -> Column:
+    """A struct of n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words (long) of a text."""
+    return let(whole(text), lambda t: _with(NAMES, {"text": t}, lambda e: F.struct(*(e[k].alias(k) for k in NAMES))))
 
 
 @dataclass(frozen=True)
 class Rule:
-    """rejects(f, text): a condition on the struct of counts and the text; never null."""
+    """rejects(e): a condition, never null, on e["text"] and on what needs names (keys of MADE)."""
 
     name: str
+    needs: tuple
     rejects: object
 
 
-def share(text: Column, pattern: str, f: Column) -> Column:
-    """Characters of text that match pattern, by 100 characters of words."""
-    return 100 * (F.length(text) - F.length(F.regexp_replace(text, pattern, ""))) / F.greatest(f["word_chars"], F.lit(1))
+def share(e: dict, pattern: str) -> Column:
+    """Characters of the text that match pattern, by 100 characters of words."""
+    t = e["text"]
+    return 100 * (F.length(t) - F.length(F.regexp_replace(t, pattern, ""))) / F.greatest(e["word_chars"], F.lit(1))
 
 
 def stutters(w: Column) -> Column:
@@ -93,33 +121,43 @@ def stutters(w: Column) -> Column:
     return F.size(F.filter(w, lambda x, i: F.coalesce(F.get(w, i - 1) == x, F.lit(False))))
 
 
+BASE = (
+    Rule("few_words", ("n_words",), lambda e: e["n_words"] < 10),
+    Rule("repeats", ("n_words", "n_repeat_words"), lambda e: e["n_repeat_words"] * 100 > e["n_words"] * 20),
+)
 RULES = (
-    Rule("symbols", lambda f, t: f["n_symbols"] * 10 > f["n_words"]),
-    Rule("short_words", lambda f, t: f["word_chars"] * 10 < f["n_words"] * 25),
-    Rule("long_words", lambda f, t: f["word_chars"] > f["n_words"] * 12),
-    Rule("dup_lines", lambda f, t: f["n_dup_lines"] * 100 > f["n_lines"] * 50),
-    Rule("capitals", lambda f, t: share(t, r"\p{Lu}+", f) > 40),
-    Rule("no_letters", lambda f, t: share(t, r"[\p{L}\p{M}]+", f) < 40),
-    Rule("stops", lambda f, t: share(t, r"[!?]{2,}", f) > 5),
-    Rule("stutter", lambda f, t: let(words(t), stutters) * 100 > f["n_words"] * 30),
+    Rule("symbols", ("n_symbols", "n_words"), lambda e: e["n_symbols"] * 10 > e["n_words"]),
+    Rule("short_words", ("word_chars", "n_words"), lambda e: e["word_chars"] * 10 < e["n_words"] * 25),
+    Rule("long_words", ("word_chars", "n_words"), lambda e: e["word_chars"] > e["n_words"] * 12),
+    Rule("dup_lines", ("n_dup_lines", "n_lines"), lambda e: e["n_dup_lines"] * 100 > e["n_lines"] * 50),
+    Rule("capitals", ("word_chars",), lambda e: share(e, r"\p{Lu}+") > 40),
+    Rule("no_letters", ("word_chars",), lambda e: share(e, r"[\p{L}\p{M}]+") < 40),
+    Rule("stops", ("word_chars",), lambda e: share(e, r"[!?]{2,}") > 5),
+    Rule("stutter", ("words", "n_words"), lambda e: stutters(e["words"]) * 100 > e["n_words"] * 30),
 )
 
 
-def base_failed(f: Column) -> Column:
-    return (f["n_words"] < 10) | (f["n_repeat_words"] * 100 > f["n_words"] * 20)
+def verdict(rules, env: dict) -> Column:
+    """True if none of rules rejects. Each is asked, and what it needs is made, only if those before it did not reject."""
+    if not rules:
+        return F.lit(True)
+    return _with(rules[0].needs, env, lambda e: F.when(rules[0].rejects(e), F.lit(False)).otherwise(verdict(rules[1:], e)))
+
 
+def plan(sample: DataFrame, rules, known: str | None = None) -> list[tuple[Rule, float, float]]:
+    """(rule, share rejected, seconds a row) in the order in which a cascade asks them, measured on sample.
 
-def plan(rows: DataFrame, rules=RULES, text: str = "text", counts: str = "f", sample_rows: int = SAMPLE_ROWS) -> list[tuple[Rule, float, float]]:
-    """(rule, share rejected, seconds a row) in the order in which a cascade asks them, from a sample of rows."""
-    sample = settle(rows.where(~base_failed(F.col(counts))).select(F.col(counts).alias("f"), F.coalesce(F.col(text), F.lit("")).alias("t")).limit(sample_rows), "rules-sample")
+    sample: text, and in known a struct of the counts that cost the rules nothing.
+    """
+    env = {"text": F.col("text")} | ({k: F.col(known)[k] for k in NAMES} if known else {})
     n = sample.count()
     if not n:
         return [(r, 0.0, 0.0) for r in rules]
-    none = min(_timed(sample, F.lit(False))[1] for _ in range(2))
+    none = min(_timed(sample, F.lit(False))[1] for _ in range(3))
     found = []
     for r in rules:
-        rejected, took = _timed(sample, r.rejects(F.col("f"), F.col("t")))
-        found.append((r, rejected / n, max(took - none, 1e-4) / n))
+        both = [_timed(sample, ~verdict([r], env)) for _ in range(2)]
+        found.append((r, both[0][0] / n, max(min(t for _, t in both) - none, 1e-4) / n))
     return sorted(found, key=lambda x: (-x[1] / x[2], x[0].name))
 
 
@@ -129,30 +167,42 @@ def _timed(sample: DataFrame, condition: Column) -> tuple[int, float]:
     return n, time.perf_counter() - began
 
 
-def verdict(rules, f: Column, text: Column) -> Column:
-    """True if none of rules rejects; each is asked only if those before it did not."""
-    out = F.when(base_failed(f), F.lit(False))
-    for r in rules:
-        out = out.when(r.rejects(f, text), F.lit(False))
-    return out.otherwise(F.lit(True))
+def sampled(texts: DataFrame, rows: int) -> DataFrame:
+    """About rows of texts, from all of its partitions alike, stored. Only what is drawn is shuffled."""
+    n = texts.count()
+    some = texts.sample(min(1.0, rows / n), seed=1) if n else texts
+    return settle(some.repartition(SAMPLE_PARTS), "rules-sample")
 
 
-def judge(docs: DataFrame, rules=RULES, text: str = "text", sample_rows: int = SAMPLE_ROWS, out: str = "quality") -> DataFrame:
-    """docs with a struct column out: the counts, base_failed and kept.
+def _clear(docs: DataFrame, text: str) -> DataFrame:
+    return docs.select(whole(F.col(text)).alias("text"))
 
-    The sample for the cascade's order is the first sample_rows rows that Spark finds.
-    """
-    t = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    few = docs.select(t.alias("text")).limit(sample_rows).select("text", features(F.col("text")).alias("f"))
-    order = [r for r, _, _ in plan(few, rules, sample_rows=sample_rows)]
-    made = let(features(t), lambda f: F.struct(*(f[k].alias(k) for k in NAMES), base_failed(f).alias("base_failed"), verdict(order, f, t).alias("kept")))
-    return docs.withColumn(out, made)
 
+def keep(docs: DataFrame, rules=(*BASE, *RULES), text: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """The rows of docs that no rule rejects, with their columns as they are."""
+    order = [r for r, _, _ in plan(sampled(_clear(docs, text), sample_rows), rules)] if sample_rows else list(rules)
+    return docs.where(let(whole(F.col(text)), lambda t: verdict(order, {"text": t})))
 
-NAMES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
+
+def judge(docs: DataFrame, rules=RULES, text: str = "text", sample_rows: int = SAMPLE_ROWS, out: str = "quality") -> DataFrame:
+    """docs with a struct column out: the counts, base_failed (by BASE) and kept (no rule rejects, neither of BASE nor of rules)."""
+    if out in docs.columns:
+        raise ValueError(f"docs has a column {out!r}")
+    order = list(rules)
+    if sample_rows:
+        some = sampled(_clear(docs, text), sample_rows).select("text", features(F.col("text")).alias("f"))
+        order = [r for r, _, _ in plan(settle(some, "rules-counts"), rules, "f")]
+
+    def made(t: Column, f: Column) -> Column:
+        env = {"text": t} | {k: f[k] for k in NAMES}
+        failed = ~verdict(BASE, env)
+        return F.struct(*(f[k].alias(k) for k in NAMES), failed.alias("base_failed"), F.when(failed, F.lit(False)).otherwise(verdict(order, env)).alias("kept"))
+
+    return docs.withColumn(out, let(whole(F.col(text)), lambda t: let(features(t), lambda f: made(t, f))))
 
 
 def op4_quality_rules(spark, sf_dir: str) -> DataFrame:
+    """doc_id, the base counts, base_failed and kept of every document, whole texts; a null text counts as empty."""
     done = judge(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     return done.select("doc_id", *(F.col("quality")[k].alias(k) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")))
 

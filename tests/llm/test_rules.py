@@ -62,12 +62,35 @@ def test_order_does_not_change_the_verdict(spark):
 def test_cheap_and_selective_rules_come_first(spark):
     from pyspark.sql import functions as F
 
-    few = [rules.Rule("never", lambda f, t: F.lit(False)), rules.Rule("most", lambda f, t: f["n_words"] < 200)]
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text", rules.features(F.col("text")).alias("f"))
+    few = [rules.Rule("never", (), lambda e: F.lit(False)), rules.Rule("most", ("n_words",), lambda e: e["n_words"] < 200)]
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text")
     (first, rejected, _), _ = rules.plan(docs, few)
     assert first.name == "most" and rejected > 0
 
 
+def test_keep_is_the_same_cascade(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").unionByName(spark.createDataFrame([(-1 - i, t, None, None, None) for i, t in enumerate(TEXTS)], "doc_id long, text string, lang string, source string, n_chars long"))
+    want = sorted(r.doc_id for r in rules.judge(docs).where("quality.kept").collect())
+    assert sorted(r.doc_id for r in rules.keep(docs).collect()) == want == sorted(r.doc_id for r in rules.keep(docs, (*rules.RULES[::-1], *rules.BASE), sample_rows=0).collect())
+    assert rules.keep(docs).columns == docs.columns and rules.keep(docs.where("false")).count() == 0
+
+
+def test_rejected_texts_pay_for_one_rule(spark):
+    """A rule after one that rejects is not evaluated: here it would fail."""
+    from pyspark.sql import functions as F
+
+    broken = rules.Rule("broken", ("words",), lambda e: F.raise_error(F.lit("asked")).cast("boolean"))
+    docs = spark.createDataFrame([(1, "a b c"), (2, None)], "doc_id long, text string")
+    assert rules.keep(docs, (rules.BASE[0], broken), sample_rows=0).count() == 0
+
+
+def test_clashing_column(spark):
+    import pytest
+
+    with pytest.raises(ValueError):
+        rules.judge(spark.createDataFrame([("a", 1)], "text string, quality int"))
+
+
 def test_query_and_sql(spark):
     d = "/root/testdata/sf0.001"
     con = duckdb.connect()
