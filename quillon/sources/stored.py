@@ -4,12 +4,18 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+#: Open scopes, the innermost last: what was written in each, as (kind, name).
+_SCOPES: list[list[tuple[str, str]]] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset and Spark is local."""
     at = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not at:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
@@ -22,11 +28,54 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def _hadoop(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder. It goes with the scope that is open."""
+    path = f"{shared_dir(spark)}/quillon/{name}-{uuid.uuid4().hex}"
+    if _SCOPES:
+        _SCOPES[-1].append(("path", path))
+    return path
+
+
+def passing(spark: SparkSession, path: str) -> None:
+    """Lets a written path go when the driver's JVM ends, whatever else happens."""
+    fs, p = _hadoop(spark, path)
+    fs.deleteOnExit(p)
+
+
+def owned_table(spark: SparkSession, name: str) -> None:
+    """Lets the scope that is open drop a table of the catalogue."""
+    if _SCOPES:
+        _SCOPES[-1].append(("table", name))
+
+
+@contextmanager
+def scope(spark: SparkSession):
+    """What operators write to the shared folder or the catalogue inside it is gone at its end, so write results before that."""
+    held: list[tuple[str, str]] = []
+    _SCOPES.append(held)
+    try:
+        yield
+    finally:
+        _SCOPES.remove(held)
+        for kind, name in reversed(held):
+            if kind == "table":
+                spark.sql(f"DROP TABLE IF EXISTS `{name}`")
+            else:
+                fs, p = _hadoop(spark, name)
+                fs.delete(p, True)
+
+
 def store(df: DataFrame, name: str) -> DataFrame:
     """df written and read again: what is above it never runs twice, whatever fails later."""
-    path = f"{shared_dir(df.sparkSession)}/quillon/{name}-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession, name)
     schema = df.schema
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    passing(df.sparkSession, path)
     return df.sparkSession.read.schema(schema).parquet(path)
 
 
