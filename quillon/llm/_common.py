@@ -3,43 +3,23 @@
 from __future__ import annotations
 
 import gc
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillon.functions.text import let  # noqa: F401
+from quillon.sources.stored import new_path, owned_table, passing, scope, store  # noqa: F401
+
 #: A word: a run without the six ASCII white-space characters (also what bytes.split() yields).
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset."""
-    at = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not at:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        at = held.get() if held.isDefined() else None
-    if not at:
-        if not spark.sparkContext.master.split("[")[0] == "local":
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        at = tempfile.mkdtemp(prefix="quillon-")
-        spark.sparkContext.setCheckpointDir(at)
-    return at.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/quillon/{name}-{uuid.uuid4().hex}"
-
-
 def settle(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read again: lineage ends there, and a lost executor costs no rerun.
 
-    The shuffle files behind df are let go, as nothing refers to them any more.
+    The shuffle files behind df are let go, as nothing refers to them any more. The table goes with the scope that is open.
     """
-    spark, schema = df.sparkSession, df.schema
-    path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    return store(df, name)
 
 
 def release(spark: SparkSession) -> None:
@@ -48,11 +28,6 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def let(value: Column, body) -> Column:
-    """body(value) with value computed once for each row, whatever the optimizer inlines."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(0))
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm._common import new_path, release, settle, text_of
+from quillon.llm._common import new_path, owned_table, passing, release, settle, text_of
 
 #: Words of a window; the period, a perfect difference cover of it, and the words of an anchor.
 LENGTH, PERIOD = 35, 21
@@ -209,6 +209,8 @@ def _texts(docs: DataFrame) -> DataFrame:
     t = t.select("k", F.posexplode("texts").alias("ord", "text"))
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     t.write.bucketBy(buckets, "k").sortBy("k").option("path", path).option("compression", "zstd").saveAsTable(name)
+    owned_table(spark, name)
+    passing(spark, path)
     return spark.table(name)
 
 
