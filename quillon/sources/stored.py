@@ -41,6 +41,11 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def drop(spark: SparkSession, path: str) -> None:
+    fs, p = _hadoop(spark, path)
+    fs.delete(p, True)
+
+
 def passing(spark: SparkSession, path: str) -> None:
     """Lets a written path go when the driver's JVM ends, whatever else happens."""
     fs, p = _hadoop(spark, path)
@@ -66,8 +71,7 @@ def scope(spark: SparkSession):
             if kind == "table":
                 spark.sql(f"DROP TABLE IF EXISTS `{name}`")
             else:
-                fs, p = _hadoop(spark, name)
-                fs.delete(p, True)
+                drop(spark, name)
 
 
 def store(df: DataFrame, name: str) -> DataFrame:
