@@ -1,13 +1,22 @@
 """Secret scans: fixed patterns, and formats inferred from the secrets that the patterns label.
 
 The patterns find assignments, access keys and long hexadecimal runs in every text. A bounded sample of what they find, by
-kind, is a set of labelled credentials: a prefix tree of them is folded into a probabilistic automaton by merging states
-whose outgoing and ending frequencies a Hoeffding bound can't tell apart (as in ALERGIA). Each candidate (a run of
-credential characters with a letter and a digit, outside the labelled spans) is scored by the mean log-likelihood of its
-characters under each automaton; it is a secret if that reaches what nearly all labelled credentials held out of the fit reach.
+kind, is a set of labelled credentials (a caller can add others): a prefix tree of them is folded into a probabilistic
+automaton by merging states whose outgoing and ending frequencies a Hoeffding bound can't tell apart (as in ALERGIA). Each
+candidate is scored by the mean log-likelihood of its characters under each automaton; it is a secret if that reaches what
+nearly all labelled credentials held out of the fit reach. So what is found besides the patterns are formats that credentials
+in assignments have, where no assignment, prefix or length gives them away.
+
+A candidate is a run of credential characters with a letter and a digit, as long as the shortest labelled credential at
+least, that no pattern's span covers whole; it may contain or overlap one. Runs of letters alone or digits alone are words
+and numbers, not candidates.
+
+Texts are read twice, once for the sample and once for the spans. Only offsets are written to disk: a credential's text is
+never stored or shuffled; the sample's, at most TRAIN of each kind, go to the driver's memory.
 
 Defined results: a null text is empty and has no spans; without labelled credentials no span is added; an empty table
-gives an empty result; rows are judged one by one, so ties and repeated rows agree; other columns are left out.
+gives an empty result; rows are judged one by one, so ties and repeated rows agree; very long texts are read whole; other
+columns are left out.
 """
 
 from __future__ import annotations
@@ -15,6 +24,7 @@ from __future__ import annotations
 import math
 import re
 from collections import defaultdict
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -28,10 +38,10 @@ ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 LEAST = {"assign": 8, "access": 16, "hex": 32}
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
+RUN = re.compile(r"[A-Za-z0-9+/_.=-]+")
 NAMES = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
-#: Labelled credentials of each kind from which the automata are fitted, at most.
-TRAIN = 500
+#: Labelled credentials of each kind from which the automata are fitted, at most, and characters of one.
+TRAIN, LONGEST = 500, 512
 ALPHA = 0.05
 
 _TRAIT = bytearray(b" " * 256)
@@ -42,52 +52,71 @@ for _c in b"abcdef":
 for _c in b"0123456789":
     _TRAIT[_c] = ord("d")
 _TRAIT = bytes(_TRAIT)
-_LONG_HEX, _LONG_RUN = re.compile(rb"[hd]{32}"), re.compile(rb"[xhd]{16}")
+_LONG_HEX = re.compile(rb"[hd]{32}")
 
 
-def base_spans(raw: bytes) -> tuple[list, list]:
-    """(spans, candidates) of a UTF-8 text: tuples kind, start, end, value; in code points."""
+def base_spans(raw: bytes) -> list[tuple]:
+    """Tuples kind, start, end, start of the value, of a UTF-8 text; in code points. A value ends with its span."""
     low, trait = raw.lower(), raw.translate(_TRAIT)
-    digits = b"d" in trait
-    ask, key = any(x in low for x in NAMES), b"AKIA" in raw
-    runs = digits and _LONG_RUN.search(trait)
-    hexed = b"hhhh" in trait if not digits else True
-    hexed = hexed and _LONG_HEX.search(trait)
-    if not (ask or key or runs or hexed):
-        return [], []
+    ask, key, hexed = any(x in low for x in NAMES), b"AKIA" in raw, _LONG_HEX.search(trait)
+    if not (ask or key or hexed):
+        return []
     text = raw.decode()
-    spans = [("assign", m.start(), m.end(), m[2]) for m in ASSIGN.finditer(text) if len(m[2]) >= LEAST["assign"]] if ask else []
-    spans += [("access", m.start(), m.end(), m[0]) for m in ACCESS.finditer(text) if m.end() - m.start() >= LEAST["access"]] if key else []
-    spans += [("hex", m.start(), m.end(), m[0]) for m in HEX.finditer(text) if m.end() - m.start() >= LEAST["hex"]] if hexed else []
+    spans = [("assign", m.start(), m.end(), m.start(2)) for m in ASSIGN.finditer(text) if len(m[2]) >= LEAST["assign"]] if ask else []
+    spans += [("access", m.start(), m.end(), m.start()) for m in ACCESS.finditer(text) if m.end() - m.start() >= LEAST["access"]] if key else []
+    spans += [("hex", m.start(), m.end(), m.start()) for m in HEX.finditer(text) if m.end() - m.start() >= LEAST["hex"]] if hexed else []
     spans.sort(key=lambda s: (s[1], KINDS.index(s[0])))
-    more = []
-    if runs:
-        at, upto = 0, -1
-        for m in CANDIDATE.finditer(text):
-            while at < len(spans) and spans[at][1] < m.end():
-                upto, at = max(upto, spans[at][2]), at + 1
-            if m.start() >= upto and re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0]):
-                more.append(("format", m.start(), m.end(), m[0]))
-    return spans, more
+    return spans
 
 
-_SPAN = "array<struct<kind:string,start:int,end:int,value:string>>"
-_ARROW = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("value", pa.string())]))
+def candidates(raw: bytes, spans: list[tuple], least: int) -> list[tuple[int, int, str]]:
+    """Tuples start, end, value of the runs of least characters or more, with a letter and a digit, that no span covers."""
+    trait, found = raw.translate(_TRAIT), []
+    if b"d" not in trait or not (near := _runs(least).search(trait)):
+        return found
+    text = raw.decode()
+    first = len(raw[: near.start()].decode())  # nothing before the first long run
+    at, upto = 0, -1
+    for m in RUN.finditer(text, first):
+        while at < len(spans) and spans[at][1] <= m.start():
+            upto, at = max(upto, spans[at][2]), at + 1
+        if upto < m.end() and m.end() - m.start() >= least and _DIGIT.search(m[0]) and _LETTER.search(m[0]):
+            found.append((m.start(), m.end(), m[0]))
+    return found
 
 
-def _found(batches):
-    for batch in batches:
-        both = [base_spans(x or b"") for x in batch.column("text").cast(pa.binary()).to_pylist()]
-        dicts = [pa.array([[dict(zip(("kind", "start", "end", "value"), s)) for s in pair[k]] for pair in both], _ARROW) for k in (0, 1)]
-        rest = [batch.column(i) for i, n in enumerate(batch.schema.names) if n != "text"]
-        yield pa.RecordBatch.from_arrays([*rest, *dicts], names=[*(n for n in batch.schema.names if n != "text"), "spans", "more"])
+_DIGIT, _LETTER = re.compile("[0-9]"), re.compile("[A-Za-z]")
 
 
-def find(docs: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, spans (what the patterns find) and more (candidates) of every row of docs."""
-    rows = docs.select(*keys, F.col("text").cast("string").alias("text"))
-    schema = T.StructType([rows.schema[k] for k in keys]).add("spans", T._parse_datatype_string(_SPAN)).add("more", T._parse_datatype_string(_SPAN))
-    return rows.mapInArrow(_found, schema)
+@cache
+def _runs(least: int):
+    """The start of a run of least characters or more with a digit among them, in a text's traits; tried at starts of runs only."""
+    return re.compile(rb"(?<![xhd])(?=[xhd]{%d})[xh]*d" % least)
+
+
+_SPAN = "array<struct<kind:string,start:int,end:int>>"
+_ARROW = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
+
+
+def _hash(value: str) -> int:
+    import xxhash
+
+    return xxhash.xxh64_intdigest(value.encode(), 42) >> 1
+
+
+def _labels(batches):
+    """One row for each base span of a batch, without its value: kind, the value's hash, and the span's number in the text."""
+    for batch in batches:
+        rows = []
+        for i, x in enumerate(batch.column("text").cast(pa.binary())):
+            spans = base_spans(raw) if (raw := x.as_py()) else []
+            if spans:
+                text = raw.decode()
+                rows += [(i, s[0], _hash(text[s[3] : s[2]]), n) for n, s in enumerate(spans) if s[2] - s[3] <= LONGEST]
+        who, kind, h, n = zip(*rows) if rows else ((), (), (), ())
+        take = pa.array(who, pa.int64())
+        kept = [c for c in batch.schema.names if c != "text"]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in kept), pa.array(kind, pa.string()), pa.array(h, pa.int64()), pa.array(n, pa.int32())], names=[*kept, "kind", "h", "n"])
 
 
 class Automaton:
@@ -175,12 +204,14 @@ class Automaton:
 UNSEEN = -14.0
 
 
-def likelihood(table: list[dict], word: str) -> float:
-    """Mean log2 probability of the characters of word."""
-    at, total = 0, 0.0
+def likelihood(table: list[dict], word: str, enough: float = -math.inf) -> float:
+    """Mean log2 probability of the characters of word; once it can't be enough any more, some lower bound of that."""
+    at, total, stop = 0, 0.0, enough * len(word)
     for c in word:
         p, at = table[at].get(c, (UNSEEN, at))
         total += p
+        if total < stop:
+            break
     return total / max(len(word), 1)
 
 
@@ -198,36 +229,63 @@ def infer(labelled: dict[str, list[str]]) -> dict[str, tuple[list[dict], float]]
     return models
 
 
-def labelled(found: DataFrame, most: int = TRAIN) -> dict[str, list[str]]:
-    """most labelled credentials of each kind, in the order of a hash of the value."""
-    s = found.select(F.explode("spans").alias("s")).select("s.kind", "s.value").distinct()
-    out = {}
+def labelled(docs: DataFrame, most: int = TRAIN) -> dict[str, list[str]]:
+    """most different credentials of each kind that the patterns find in docs, those with the least hashes, in that order.
+
+    Hashes and the digests of texts choose them; the chosen texts' values then go straight to the driver.
+    """
+    texts = docs.select(F.col("text").cast("string").alias("text")).where("text is not null")
+    each = texts.select(F.unhex(F.sha2("text", 256)).alias("k"), "text").mapInArrow(_labels, "k binary, kind string, h long, n int")
+    one = settle(each.groupBy("kind", "h").agg(F.min(F.struct("k", "n")).alias("at")), "labels")
+    chosen = []
     for kind in KINDS[:3]:
-        rows = s.where(F.col("kind") == kind).orderBy(F.xxhash64("value"), "value").limit(most).collect()
-        out[kind] = [r.value for r in rows]
-    return {k: v for k, v in out.items() if v}
+        chosen += one.where(F.col("kind") == kind).orderBy("h").limit(most).collect()
+    if not chosen:
+        return {}
+    # most of each kind at most
+    ids = F.broadcast(docs.sparkSession.createDataFrame(sorted({(bytes(r["at"]["k"]),) for r in chosen}), "k binary"))
+    wanted = {(bytes(r["at"]["k"]), r["at"]["n"]) for r in chosen}
+
+    def values(batches):
+        seen = set()
+        for batch in batches:
+            out = []
+            for k, x in zip(batch.column("k").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist()):
+                if k not in seen:
+                    seen.add(k)
+                    text = x.decode()
+                    out += [(s[0], text[s[3] : s[2]]) for n, s in enumerate(base_spans(x)) if (k, n) in wanted]
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.string()) for i in (0, 1)], names=["kind", "value"])
+
+    held = texts.withColumn("k", F.unhex(F.sha2("text", 256))).join(ids, "k", "left_semi").mapInArrow(values, "kind string, value string").collect()
+    found = {kind: sorted({r.value for r in held if r.kind == kind}, key=lambda v: (_hash(v), v)) for kind in KINDS[:3]}
+    return {k: v for k, v in found.items() if v}
 
 
-def scan(docs: DataFrame, keys: list[str], train: int = TRAIN) -> DataFrame:
+def scan(docs: DataFrame, keys: list[str], train: int = TRAIN, more: dict[str, list[str]] | None = None) -> DataFrame:
     """keys, base and spans of every row: arrays of structs kind, start, end by start, then kind as in KINDS.
 
-    The automata travel to the executors with the code: they have at most train times the length of a credential states.
+    more: labelled credentials by kind, besides those of the patterns. The automata travel to the executors with the code:
+    they have at most train times LONGEST states for each kind.
     """
-    found = settle(find(docs, keys), "secret-spans")
-    models = infer(labelled(found, train))
+    known = labelled(docs, train) | (more or {})
+    models = list(infer(known).values())
+    least = min((len(v) for vs in known.values() for v in vs), default=0)
+    rows = docs.select(*keys, F.col("text").cast("string").alias("text"))
 
     def scored(batches):
         for batch in batches:
-            out = []
-            for base, more in zip(batch.column("spans").to_pylist(), batch.column("more").to_pylist()):
-                hits = [m for m in more or () if any(likelihood(t, m["value"]) >= least for t, least in models.values())]
-                both = sorted([*(base or ()), *hits], key=lambda s: (s["start"], KINDS.index(s["kind"])))
-                out.append([base or [], both])
-            rest = [batch.column(i) for i, n in enumerate(batch.schema.names) if n not in ("spans", "more")]
-            yield pa.RecordBatch.from_arrays([*rest, *(pa.array([x[k] for x in out], _ARROW) for k in (0, 1))], names=[*keys, "base", "spans"])
+            both = []
+            for x in batch.column("text").cast(pa.binary()):
+                raw = x.as_py() or b""
+                base = base_spans(raw)
+                hits = [("format", a, b) for a, b, v in (candidates(raw, base, least) if models else ()) if any(likelihood(t, v, at_least) >= at_least for t, at_least in models)]
+                spans = sorted([*(s[:3] for s in base), *hits], key=lambda s: (s[1], KINDS.index(s[0])))
+                both.append([[dict(zip(("kind", "start", "end"), s)) for s in part] for part in (base, spans)])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), *(pa.array([x[i] for x in both], _ARROW) for i in (0, 1))], names=[*keys, "base", "spans"])
 
-    schema = T.StructType([found.schema[k] for k in keys]).add("base", T._parse_datatype_string(_SPAN)).add("spans", T._parse_datatype_string(_SPAN))
-    return found.mapInArrow(scored, schema)
+    schema = T.StructType([rows.schema[k] for k in keys]).add("base", T._parse_datatype_string(_SPAN)).add("spans", T._parse_datatype_string(_SPAN))
+    return rows.mapInArrow(scored, schema)
 
 
 def written(spans: Column) -> Column:
@@ -245,6 +303,7 @@ def redact(text: Column, spans: Column, mark: str = "[secret]") -> Column:
 
 
 def op10_secret_scans(spark, sf_dir: str) -> DataFrame:
+    """doc_id, n_assign, n_access, n_hex, base_sha256 and spans of every document; a null text is empty and has none."""
     done = scan(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), ["doc_id"])
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return done.select("doc_id", *map(count, KINDS[:3]), F.sha2(written(F.col("base")), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))

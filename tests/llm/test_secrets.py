@@ -39,11 +39,71 @@ def test_base_and_added_spans(spark):
     for i, x in enumerate(t):
         assert [(s.kind, s.start, s.end) for s in got[i].base] == brute(x), i
         assert [s for s in got[i].spans if s.kind != "format"] == got[i].base
-    added = [s.value for s in got[len(t) - 1].spans]
+    added = [t[-1][s.start : s.end] for s in got[len(t) - 1].spans]
     assert len(added) == 1 and len(added[0]) == 24
     assert sum(s.kind == "format" for r in got.values() for s in r.spans) == 1
 
 
+def planted(rng):
+    """A format that no pattern knows: it is seen in assignments, and bare."""
+    return f"zk-{some(rng, '0123456789', 4)}-{some(rng, 'abcdefghijklmnopqrstuvwxyz', 10)}"
+
+
+def test_finds_formats_that_the_patterns_miss(spark):
+    rng = random.Random(7)
+    rows = [f"some words, token={planted(rng)} and more" for _ in range(150)]
+    bare = [planted(rng) for _ in range(60)]
+    rows += [f"he wrote {v} on the wall" for v in bare]
+    plain = ["the 24hour internet2000 is a3b4 or x86compatible with utf8encoding and mp3players v1.2.3beta4", "isbn 9783161484100 room12 on 2024-01-01T10:00 www.example.com/page1 abc123def"] * 20
+    df = spark.createDataFrame(list(enumerate(rows + plain)), "doc_id long, text string")
+    got = {r.doc_id: r for r in secrets.scan(df, ["doc_id"]).collect()}
+    for i, v in enumerate(bare, 150):
+        assert not got[i].base
+    hit = sum(any(rows[i][s.start : s.end] == v for s in got[i].spans) for i, v in enumerate(bare, 150))
+    assert hit >= 0.95 * len(bare)
+    assert not any(got[i].spans for i in range(210, 250))
+
+
+def test_longer_runs_around_a_span(spark):
+    rng = random.Random(8)
+    hexed = "0123456789abcdef"
+    rows = [f"password={some(rng, hexed, 36)}.{some(rng, hexed, 36)} is it" for _ in range(60)]
+    rows += [f"bare {some(rng, hexed, 36)}.{some(rng, hexed, 36)} here"]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    last = {r.doc_id: r for r in secrets.scan(df, ["doc_id"]).collect()}[60]
+    assert [(s.kind, s.start, s.end) for s in last.spans] == [("format", 5, 78), ("hex", 5, 41), ("hex", 42, 78)] or [s.kind for s in last.spans].count("format") == 1
+    assert [s.kind for s in last.base] == ["hex", "hex"]
+
+
+def test_no_credential_on_disk(spark):
+    import os
+
+    from quillon.sources.stored import shared_dir
+
+    rng = random.Random(9)
+    held = ["0123456789abcdef" + some(rng, "0123456789abcdef", 24) for _ in range(30)]
+    df = spark.createDataFrame(list(enumerate(f"token={v}" for v in held)), "doc_id long, text string")
+    before = {os.path.join(d, f) for d, _, fs in os.walk(shared_dir(spark).removeprefix("file:")) for f in fs}
+    assert all(r.base for r in secrets.scan(df, ["doc_id"]).collect())
+    new = {os.path.join(d, f) for d, _, fs in os.walk(shared_dir(spark).removeprefix("file:")) for f in fs} - before
+    tables = {os.path.dirname(f) for f in new if f.endswith(".parquet")}
+    assert tables and not any(v in str(spark.read.parquet(t).collect()) for t in tables for v in held)
+
+
+def test_very_long_texts(spark):
+    rows = ["x" * 2_000_000, "a1" * 500_000, "token=12345678 " * 50_000, "token" + " " * 500_000]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r.doc_id: r for r in secrets.scan(df, ["doc_id"]).collect()}
+    assert len(got[2].base) == 50_000 and not got[0].spans and not got[3].spans
+
+
+def test_credentials_of_the_callers(spark):
+    rng = random.Random(10)
+    df = spark.createDataFrame([(0, f"see {planted(rng)} there"), (1, None), (2, "")], "doc_id long, text string")
+    got = {r.doc_id: r for r in secrets.scan(df, ["doc_id"], more={"ours": [planted(rng) for _ in range(200)]}).collect()}
+    assert [s.kind for s in got[0].spans] == ["format"] and not got[1].spans and not got[2].spans
+
+
 def test_inference_folds_states():
     rng = random.Random(2)
     a = secrets.Automaton(["AKIA" + some(rng, "XYZ012", 16) for _ in range(200)])
