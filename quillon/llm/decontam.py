@@ -4,8 +4,10 @@ Words are lower-cased (A-Z). A window of an item's size is a leak if its edit di
 the item's words at most. Windows and items are embedded by random walks (Chakraborty, Goldenberg, Koucky): step j writes
 the word under a pointer and moves the pointer on if a random function of j and the word says so; edit distance becomes
 Hamming distance. Locality-sensitive hashing samples positions of the embeddings; a window meets an item if the words at
-all positions of one of several samples agree. The number of samples is the least whose recall reaches the target on random
-edits of the items themselves. What meets is verified by the exact edit distance, so every row returned is a leak.
+all positions of one of several samples agree. The number of samples is chosen for each class of item sizes: the least whose
+recall reaches the target on random edits of the class's own items, at the largest distance; where none does, all windows of
+the class go on to the check, so that its recall is whole. What meets is verified by the exact edit distance (bit-parallel),
+so every row returned is a leak.
 
 Windows that can't be leaks are not embedded: t edits leave one of an item's t + 1 unedited stretches whole, so a leak
 shares a run of (n - t) / (t + 1) words with its item, moved by t at most. This skips no window within the distance.
@@ -19,6 +21,7 @@ equal items each get their rows; repeated rows each get their rows; no texts or
 from __future__ import annotations
 
 import random
+from bisect import bisect_right
 from collections import defaultdict
 from functools import reduce
 from itertools import repeat
@@ -32,29 +35,52 @@ from pyspark.sql import types as T
 MIN_WORDS, DISTANCE = 5, 0.2
 #: Positions in a sample, embeddings, and the numbers of samples from which the recall picks.
 PICKED, WALKS, SAMPLES, RECALL = 4, 8, (8, 16, 32, 64, 128), 0.99
+#: Least sizes of the classes of items, and random edits of a class on which its recall is measured.
+CLASSES, TRIALS = (5, 8, 12, 20, 35, 60, 100, 200, 500), 400
+#: Words of windows that are embedded at a time.
+WORDS_AT_ONCE = 1 << 20
 #: Items and words of items in a block.
 BLOCK, BLOCK_WORDS = 20_000, 2_000_000
 CHUNK, FLUSH = 4 << 20, 40_000
 STRETCH = 3  # steps of a walk by word
 
 
-def edit_distance(a, b, most: int) -> int:
-    """Edit distance of two sequences, or most + 1 if it is larger."""
-    if abs(len(a) - len(b)) > most:
-        return most + 1
-    far = most + 1
-    row = [j if j <= most else far for j in range(len(b) + 1)]
-    for i in range(1, len(a) + 1):
-        lo, hi = max(1, i - most), min(len(b), i + most)
-        new = [far] * (len(b) + 1)
-        if i <= most:
-            new[0] = i
-        for j in range(lo, hi + 1):
-            new[j] = min(row[j - 1] + (a[i - 1] != b[j - 1]), row[j] + 1, new[j - 1] + 1, far)
-        row = new
-        if min(row) > most:
+def places(a) -> dict:
+    """For each word of a, the places that have it, as the bits of a number."""
+    out: dict = {}
+    for i, x in enumerate(a):
+        out[x] = out.get(x, 0) | 1 << i
+    return out
+
+
+def edit_distance(a, b, most: int, at: dict | None = None) -> int:
+    """Edit distance of two sequences, or most + 1 if it is larger. at: places(a), if known.
+
+    A column of the usual table is two numbers, whose bits say where it rises and falls by one (Myers, Hyyro), so that a step
+    takes a few operations on numbers of len(a) bits.
+    """
+    m, far = len(a), most + 1
+    if abs(m - len(b)) > most:
+        return far
+    if not m:
+        return len(b)
+    at = places(a) if at is None else at
+    whole, top = (1 << m) - 1, 1 << (m - 1)
+    up, down, score, left = whole, 0, m, len(b)
+    for x in b:
+        same = at.get(x, 0)
+        diagonal = (((same & up) + up) ^ up) | same | down
+        right_up, right_down = down | (whole & ~(diagonal | up)), up & diagonal
+        left -= 1
+        if right_up & top:
+            score += 1
+        elif right_down & top:
+            score -= 1
+        if score - left > most:
             return far
-    return row[len(b)]
+        right_up, right_down = (right_up << 1 | 1) & whole, (right_down << 1) & whole
+        up, down = right_down | (whole & ~(same | down | right_up)), right_up & (same | down)
+    return min(score, far)
 
 
 def allowed(n: int) -> int:
@@ -67,6 +93,10 @@ def run_length(n: int) -> int:
     return -(-(n - t) // (t + 1))
 
 
+def size_class(n: int) -> int:
+    return bisect_right(CLASSES, n) - 1
+
+
 class Items:
     """A block of items, ready for matching. Word numbers start at 1; 0 is any other word."""
 
@@ -88,12 +118,20 @@ class Items:
             for o in range(len(x) - q + 1):
                 self.runs[q].setdefault(tuple(x[o : o + q]), []).append((k, o))
         self.grams = {q: np.unique(self._gram_keys([np.array(g) for g in found], q)) for q, found in self.runs.items()}
-        self.samples = samples or (self._calibrated(recall) if self.items else SAMPLES[0])
-        keys = self.keys(self.items, self.samples)
-        self.tables = []
-        for s in range(self.samples):
-            order = np.argsort(keys[:, s], kind="stable")
-            self.tables.append((keys[order, s], order))
+        self.places = [places(x) for x in self.items]
+        self.by_class = defaultdict(list)
+        for k, x in enumerate(self.items):
+            self.by_class[size_class(len(x))].append(k)
+        #: class to its number of samples (0: every window that passes the runs is checked) and tables of keys
+        self.samples = {c: samples or self._calibrated(own, recall) for c, own in self.by_class.items()}
+        self.tables = {}
+        for c, own in self.by_class.items():
+            keys = self.keys([self.items[k] for k in own], self.samples[c])
+            orders = [np.argsort(keys[:, s], kind="stable") for s in range(self.samples[c])]
+            self.tables[c] = [(keys[o, s], np.array(own)[o]) for s, o in enumerate(orders)]
+        self.by_size = defaultdict(list)
+        for k, x in enumerate(self.items):
+            self.by_size[len(x)].append(k)
 
     def _gram_keys(self, rows, q):
         x = np.stack(rows) if len(rows) else np.zeros((0, q), np.int64)
@@ -108,61 +146,75 @@ class Items:
 
     def keys(self, windows: list, samples: int) -> np.ndarray:
         """A key of each window for each sample: of its size and of the words at the sample's positions of its walk."""
-        n = np.array([len(w) for w in windows], np.int64)
-        if not len(n):
-            return np.zeros((0, samples), np.uint64)
-        x = np.full((len(n), self.most + 1), -1, np.int64)
+        out, by_size = np.zeros((len(windows), samples), np.uint64), defaultdict(list)
         for r, w in enumerate(windows):
-            x[r, : len(w)] = w
-        row, out = np.arange(len(n)), np.zeros((len(n), samples), np.uint64)
+            by_size[len(w)].append(r)
+        for n, rows in by_size.items():
+            many = max(1, WORDS_AT_ONCE // n)
+            for lo in range(0, len(rows), many):
+                some = rows[lo : lo + many]
+                out[some] = self._keyed(np.array([windows[r] for r in some], np.int64), samples)
+        return out
+
+    def _keyed(self, x: np.ndarray, samples: int) -> np.ndarray:
+        """Keys of windows of one size. Of a walk only the words at the picked steps are kept."""
+        n = x.shape[1]
+        x = np.concatenate([x, np.full((len(x), 1), -1, np.int64)], axis=1)
+        row, out = np.arange(len(x)), np.empty((len(x), samples), np.uint64)
+        picks = (self.picks[:samples] * (STRETCH * n)).astype(np.int64)
         for e in range(min(WALKS, samples)):
-            at, walk = np.zeros(len(n), np.int64), np.empty((len(n), STRETCH * self.most), np.uint64)
-            for j in range(STRETCH * self.most):
+            own = range(e, samples, WALKS)
+            steps = sorted({int(p) for k in own for p in picks[k]})
+            at, seen, wanted = np.zeros(len(x), np.int64), {}, set(steps)
+            for j in range(steps[-1] + 1):
                 s = self.symbols[x[row, at]]
-                walk[:, j] = s
+                if j in wanted:
+                    seen[j] = s
                 at += (((s * self.steps[e, j]) >> np.uint64(63)) == 1) & (at < n)
-            for k in range(e, samples, WALKS):
-                key = n.astype(np.uint64)
-                for u in self.picks[k]:
-                    key = (key ^ walk[row, (u * STRETCH * n).astype(np.int64)]) * np.uint64(0xC2B2AE3D27D4EB4F)
+            for k in own:
+                key = np.full(len(x), n, np.uint64)
+                for p in picks[k]:
+                    key = (key ^ seen[int(p)]) * np.uint64(0xC2B2AE3D27D4EB4F)
                     key ^= key >> np.uint64(31)
                 out[:, k] = key
         return out
 
-    def _calibrated(self, recall: float) -> int:
-        """The least number of samples that finds this share of random edits at the largest distance."""
-        rng = random.Random(7)
-        pairs = []
-        for k in rng.sample(range(len(self.items)), min(len(self.items), 200)):
-            x = self.items[k]
-            for _ in range(3):
-                y, size = list(x), len(self.vocabulary)
-                for _ in range(allowed(len(x))):
-                    what, at = rng.randrange(3), rng.randrange(len(y))
-                    if what == 0:
-                        y[at] = rng.randint(0, size)
-                    elif what == 1:
-                        y.insert(at, rng.randint(0, size))
-                    else:
-                        del y[at]
-                y = (y + [0] * len(x))[: len(x)]
-                if edit_distance(x, y, allowed(len(x))) <= allowed(len(x)):
-                    pairs.append((x, y))
-        if not pairs:
-            return SAMPLES[0]
+    def _calibrated(self, own: list[int], recall: float) -> int:
+        """The least number of samples that finds this share of random edits of the items own at the largest distance; 0 if none.
+
+        An edit replaces a word, or drops one and adds one, which counts as two, so that each edited window has the item's
+        size and is within the distance.
+        """
+        rng, size, pairs = random.Random(7), len(self.vocabulary), []
+        for _ in range(TRIALS):
+            x = self.items[rng.choice(own)]
+            y, left = list(x), allowed(len(x))
+            while left:
+                if left > 1 and rng.random() < 0.5:
+                    del y[rng.randrange(len(y))]
+                    y.insert(rng.randrange(len(y) + 1), rng.randint(0, size))
+                    left -= 2
+                else:
+                    y[rng.randrange(len(y))] = rng.randint(0, size)
+                    left -= 1
+            pairs.append((x, y))
         same = self.keys([x for x, _ in pairs], max(SAMPLES)) == self.keys([y for _, y in pairs], max(SAMPLES))
-        for s in SAMPLES:
-            if same[:, :s].any(axis=1).mean() >= recall:
-                return s
-        return SAMPLES[-1]
+        return next((s for s in SAMPLES if same[:, :s].any(axis=1).mean() >= recall), 0)
 
     def met(self, windows: list) -> set[tuple[int, int]]:
-        """(window, item) pairs that agree on a sample."""
-        keys, found = self.keys(windows, self.samples), set()
-        for s, (table, order) in enumerate(self.tables):
-            lo, hi = np.searchsorted(table, keys[:, s], "left"), np.searchsorted(table, keys[:, s], "right")
-            for w in np.nonzero(hi > lo)[0].tolist():
-                found.update((w, int(k)) for k in order[lo[w] : hi[w]])
+        """(window, item) pairs that agree on a sample of their class, or all of one size where the class has no samples."""
+        found, by_class = set(), defaultdict(list)
+        for w, x in enumerate(windows):
+            by_class[size_class(len(x))].append(w)
+        for c, own in by_class.items():
+            if not self.samples.get(c):
+                found.update((w, k) for w in own for k in self.by_size.get(len(windows[w]), ()))
+                continue
+            keys = self.keys([windows[w] for w in own], self.samples[c])
+            for s, (table, items) in enumerate(self.tables[c]):
+                lo, hi = np.searchsorted(table, keys[:, s], "left"), np.searchsorted(table, keys[:, s], "right")
+                for i in np.nonzero(hi > lo)[0].tolist():
+                    found.update((own[i], int(k)) for k in items[lo[i] : hi[i]])
         return found
 
     def starts(self, ids: np.ndarray) -> dict[int, set[int]]:
@@ -201,7 +253,7 @@ def _matched(items: Items, keys: list[str]):
             windows, best = list(distinct), {}
             for w, k in sorted(items.met([list(x) for x in windows])):
                 x = items.items[k]
-                d = edit_distance(x, windows[w], allowed(len(x)))
+                d = edit_distance(x, windows[w], allowed(len(x)), items.places[k])
                 if d <= allowed(len(x)):
                     for r, size, start in place[w]:
                         if (r, k) not in best or (d, start) < best[r, k][:2]:
@@ -269,5 +321,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame, keys: list[str], recall: float
 
 
 def op9_decontamination(spark, sf_dir: str) -> DataFrame:
+    """doc_id, item_id, start, n_words and distance of every leak of every item in whole texts; null texts leak nothing."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), ["doc_id"])

@@ -94,6 +94,58 @@ def test_edit_distance():
         assert D.edit_distance(a, b, most) == min(distance(a, b), most + 1)
 
 
+def mixed(rng, x, size):
+    """x edited at the largest distance, of its size."""
+    y, left = list(x), D.allowed(len(x))
+    while left > 0:
+        if left > 1 and rng.random() < 0.4:
+            del y[rng.randrange(len(y))]
+            y.insert(rng.randrange(len(y) + 1), rng.randint(0, size))
+            left -= 2
+        else:
+            y[rng.randrange(len(y))] = rng.randint(0, size)
+            left -= 1
+    return y
+
+
+def test_recall_by_size():
+    """The sampling step at the largest distance, on other edits than those it was calibrated with."""
+    rng = random.Random(11)
+    for n in (10, 50, 200):
+        items = D.Items([(i, " ".join(f"w{rng.randrange(3000)}" for _ in range(n))) for i in range(60)])
+        tried = [(k, mixed(rng, items.items[k], len(items.vocabulary))) for k in range(60) for _ in range(8)]
+        met = items.met([y for _, y in tried])
+        assert all(distance(items.items[k], y) <= D.allowed(n) for k, y in tried[:20])
+        assert sum((i, k) in met for i, (k, _) in enumerate(tried)) >= 0.98 * len(tried), n
+
+
+def test_classes_without_enough_recall_are_checked_whole():
+    rng = random.Random(12)
+    items = D.Items([(i, " ".join(f"w{rng.randrange(3000)}" for _ in range(30))) for i in range(20)], recall=1.01)
+    assert set(items.samples.values()) == {0}
+    tried = [(k, mixed(rng, items.items[k], len(items.vocabulary))) for k in range(20)]
+    met = items.met([y for _, y in tried])
+    assert all((i, k) in met for i, (k, _) in enumerate(tried))
+
+
+def test_an_item_of_2000_words(spark):
+    import tracemalloc
+
+    rng = random.Random(13)
+    item = [f"w{rng.randrange(9000)}" for _ in range(2000)]
+    leak = edited(rng, item, 150, lambda: "other")
+    other = [f"v{rng.randrange(9000)}" for _ in range(5000)]
+    items = D.Items([(0, " ".join(item))])
+    windows = [[items.vocabulary.get(w.encode(), 0) for w in (leak + other)[s : s + 2000]] for s in range(300)]
+    tracemalloc.start()
+    assert any(k == 0 for _, k in items.met(windows))
+    assert tracemalloc.get_traced_memory()[1] < 200 << 20
+    tracemalloc.stop()
+    docs = [(1, " ".join(other + leak + other)), (2, " ".join(other))]
+    got = D.leaks(*frames(spark, docs, [(0, " ".join(item))]), ["doc_id"]).collect()
+    assert [(r.doc_id, r.item_id) for r in got] == [(1, 0)] and got[0].distance <= 400
+
+
 def test_blocks_and_empty(spark, monkeypatch):
     docs, items = corpus(1)
     key = lambda df: sorted(map(str, df.collect()))
