@@ -7,7 +7,8 @@ all other pairs of tiles are skipped. Within a pair of tiles numpy compares all
 A comparison yields a spanning forest of its links, which has the same components and no more links than fingerprints.
 
 More blocks mean more and smaller tiles, and more neighbours to compare a tile with. Four blocks serve up to some ten
-million different fingerprints, eight beyond.
+million different fingerprints, eight beyond. Counts crowd around their means, so tiles there are large: a tile of more than
+SLICE fingerprints is cut into slices, and pairs of slices go to tasks of their own.
 
 Defined results: a text without words has fingerprint 0; fewer words than a shingle are one shingle; null doc_ids keep
 their row and never name a component unless there is no other (then it is null); repeated rows get equal results; an empty
@@ -30,6 +31,9 @@ SEED = 42
 SHINGLE, RADIUS = 3, 2
 #: Bytes of texts that are worked on at a time, and fingerprints of a comparison's two sides.
 CHUNK, SIDE = 4 << 20, (1024, 8192)
+#: Fingerprints of a slice of a large tile, and a bound of the number of such tiles.
+SLICE, LARGE = 1 << 15, 20_000
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def majority(h: np.ndarray) -> int:
@@ -91,13 +95,25 @@ def _moves(blocks: int, radius: int) -> np.ndarray:
     return np.array(sorted(found - {(0,) * blocks}), np.int64)
 
 
-def _dealt(blocks: int, radius: int):
-    """Each fingerprint for its own tile (side 0), and for each near tile with a smaller key (side 1)."""
+def _tile(fp, blocks: int):
+    """The tile of a fingerprint column, as _dealt has it."""
+    width = 64 // blocks
+    counts = (F.bit_count(F.shiftrightunsigned(fp, width * b).bitwiseAND(F.lit((1 << width) - 1))) for b in range(blocks))
+    return sum((c.cast("long") * (width + 1) ** b for b, c in enumerate(counts)), F.lit(0).cast("long"))
+
+
+def _dealt(blocks: int, radius: int, slices: dict[int, int]):
+    """Each fingerprint for its own tile (side 0), and for each near tile with a smaller key (side 1).
+
+    A tile of p slices is dealt into cells: (i, j), i <= j < p, of its own slices i and j, and (i, p + v) of its slice i and
+    the slice v of the fingerprints from near tiles. Other tiles are one cell (0, 0).
+    """
 
     def run(batches):
         moves = _moves(blocks, radius)
         width = 64 // blocks
         base = (width + 1) ** np.arange(blocks, dtype=np.int64)
+        large = np.array(sorted(slices), np.int64)
         for batch in batches:
             fp = batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
             for at in range(0, len(fp), 2048):
@@ -108,7 +124,19 @@ def _dealt(blocks: int, radius: int):
                 ok = ((near >= 0) & (near <= width)).all(2) & (keys < key[:, None])
                 who, _ = np.nonzero(ok)
                 tile, side = np.concatenate([key, keys[ok]]), np.concatenate([np.zeros(len(key), np.int8), np.ones(len(who), np.int8)])
-                yield pa.RecordBatch.from_arrays([pa.array(tile), pa.array(side), pa.array(np.concatenate([some, some[who]]).view(np.int64))], names=["tile", "side", "fp"])
+                value = np.concatenate([some, some[who]])
+                i = j = np.zeros(len(tile), np.int32)
+                if len(large):
+                    hot = np.isin(tile, large)
+                    parts = [(tile[~hot], i[~hot], j[~hot], side[~hot], value[~hot])]
+                    for t, s, v in zip(tile[hot].tolist(), side[hot].tolist(), value[hot]):
+                        p = slices[t]
+                        m = int((v * _SPREAD) >> np.uint64(40)) % p
+                        cells = [(k, p + m, 1) for k in range(p)] if s else [(min(m, k), max(m, k), int(m > k)) for k in range(p)] + [(m, p + k, 0) for k in range(p)]
+                        x = np.array(cells, np.int32)
+                        parts.append((np.full(len(x), t), x[:, 0], x[:, 1], x[:, 2].astype(np.int8), np.full(len(x), v)))
+                    tile, i, j, side, value = (np.concatenate(c) for c in zip(*parts))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (tile, i, j, side, value.view(np.int64))], names=["tile", "i", "j", "side", "fp"])
 
     return run
 
@@ -134,7 +162,7 @@ def _forest(a: np.ndarray, b: np.ndarray, radius: int) -> list[np.ndarray]:
 
 
 def _linked(radius: int):
-    """Rows by tile, side 0 first: links within the tile and between it and the others."""
+    """Rows by cell (tile, i, j), side 0 first: links within side 0 if i = j, and between the sides."""
 
     def pairs(a, b):
         for x in range(0, len(a), SIDE[0]):
@@ -142,7 +170,7 @@ def _linked(radius: int):
                 yield from _forest(a[x : x + SIDE[0]], b[y : y + SIDE[1]], radius)
 
     def run(batches):
-        tile, own, inside = None, [], True
+        cell, own, inside = None, [], True
         schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
         def out(found):
@@ -158,24 +186,24 @@ def _linked(radius: int):
                     yield from pairs(all_own[k : k + SIDE[0]], all_own[k:])
 
         for batch in batches:
-            t, s, fp = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("tile", "side", "fp"))
-            cuts = [0, *(np.nonzero((t[1:] != t[:-1]) | (s[1:] != s[:-1]))[0] + 1).tolist(), len(t)]
+            t, i, j, s, fp = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("tile", "i", "j", "side", "fp"))
+            cuts = [0, *(np.nonzero(np.any([x[1:] != x[:-1] for x in (t, i, j, s)], axis=0))[0] + 1).tolist(), len(t)]
             for lo, hi in zip(cuts, cuts[1:]):
                 if lo == hi:
                     continue
                 some = fp[lo:hi].view(np.uint64)
                 found = []
-                if t[lo] != tile:
+                if (t[lo], i[lo], j[lo]) != cell:
                     found += close()
-                    tile, inside = t[lo], True
+                    cell, inside = (t[lo], i[lo], j[lo]), i[lo] == j[lo]
                     own.clear()
                 if s[lo] == 0:
                     own.append(some)
                 else:
-                    if inside:
-                        found += close()
-                        inside = False
+                    found += close()
+                    inside = False
                     if own:
+                        own[:] = [np.concatenate(own)]
                         found += pairs(own[0], some)
                 if found:
                     yield out(found)
@@ -189,10 +217,15 @@ def _linked(radius: int):
 def links(prints: DataFrame, radius: int = RADIUS, blocks: int | None = None) -> DataFrame:
     """Edges a, b between different fingerprints of prints (fp, distinct): those of all pairs within radius bits have the
     same components as these, and these are within radius bits or in one component of a comparison."""
+    n = prints.count()
     if blocks is None:
-        blocks = 4 if prints.count() <= 20_000_000 else 8
-    dealt = prints.select("fp").mapInArrow(_dealt(blocks, radius), "tile long, side byte, fp long")
-    ranked = dealt.repartition("tile").sortWithinPartitions("tile", "side")
+        blocks = 4 if n <= 20_000_000 else 8
+    # a tile above this is dealt in cells; fewer than LARGE can be, so their sizes fit the driver
+    most = max(SLICE, n // LARGE)
+    large = prints.groupBy(_tile(F.col("fp"), blocks).alias("tile")).count().where(F.col("count") > most).collect()
+    slices = {r["tile"]: -(-r["count"] // SLICE) for r in large}
+    dealt = prints.select("fp").mapInArrow(_dealt(blocks, radius, slices), "tile long, i int, j int, side byte, fp long")
+    ranked = dealt.repartition("tile", "i", "j").sortWithinPartitions("tile", "i", "j", "side")
     return ranked.mapInArrow(_linked(radius), "a long, b long")
 
 
@@ -213,5 +246,6 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, span: int = SHINGLE,
 
 
 def op6_simhash(spark, sf_dir: str) -> DataFrame:
+    """doc_id, fingerprint and component_id of every document; null and empty texts have fingerprint zero."""
     done = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     return done.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

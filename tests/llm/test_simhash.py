@@ -46,8 +46,11 @@ def test_fingerprints(spark):
     assert got == {i: brute_print(t) for i, t in enumerate(texts)}
 
 
-@pytest.mark.parametrize("blocks,radius", [(4, 2), (8, 2), (4, 4), (2, 5)])
-def test_components_of_random_and_clustered_prints(spark, blocks, radius):
+@pytest.mark.parametrize("blocks,radius,most", [(4, 2, None), (8, 2, None), (4, 4, None), (2, 5, None), (4, 2, 5), (2, 3, 40)])
+def test_components_of_random_and_clustered_prints(spark, monkeypatch, blocks, radius, most):
+    """With most, tiles of more fingerprints than that are dealt in slices."""
+    if most:
+        monkeypatch.setattr(simhash, "SLICE", most)
     rng = random.Random(blocks)
     rows, seeds = [], [rng.getrandbits(64) for _ in range(60)] + [0, 2**64 - 1]
     for s in seeds:
@@ -64,6 +67,25 @@ def test_components_of_random_and_clustered_prints(spark, blocks, radius):
     assert all(r.component_id == want[(r.doc_id, r.fp % 2**64)] for r in got)
 
 
+@pytest.mark.parametrize("blocks", [2, 4, 8])
+def test_tiles_of_columns_and_arrays_agree(spark, blocks):
+    from pyspark.sql import functions as F
+
+    fp = np.random.default_rng(1).integers(0, 2**64, 50, np.uint64)
+    base = (64 // blocks + 1) ** np.arange(blocks)
+    got = [r.t for r in spark.createDataFrame([(i, int(x)) for i, x in enumerate(fp.view(np.int64))], "i int, fp long").orderBy("i").select(simhash._tile(F.col("fp"), blocks).alias("t")).collect()]
+    assert got == (simhash._counts(fp, blocks) @ base).tolist()
+
+
+def test_a_very_long_text_and_repeated_rows(spark):
+    rng = random.Random(2)
+    long = " ".join(f"w{rng.randrange(10**6)}" for _ in range(200_000))
+    df = spark.createDataFrame([(1, long), (2, long.upper()), (1, long), (3, "x" * 2_000_000)], "doc_id long, text string")
+    got = sorted((r.doc_id, r.fp % 2**64, r.component_id) for r in simhash.near_duplicates(df).collect())
+    want = brute_print(long)
+    assert got == sorted([(1, want, 1), (1, want, 1), (2, want, 1), (3, brute_print("x" * 2_000_000), 3)])
+
+
 def test_chain_components(spark):
     n = 300
     ids = list(range(n))
