@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from quillon.llm._common import settle, text_of
 
-ORDER = 4
+ORDER = 6
 #: Rows of the model in a shard; 16 bytes each.
 SHARD_ROWS = 4_000_000
 #: Trusted ids that may be broadcast (8 bytes each); with more, texts are shuffled to them.
@@ -203,28 +203,34 @@ def summed(cells: np.ndarray, n: int) -> tuple[float | None, float | None]:
     return -c[-1] / n, float(np.max((c[:-k] - c[k:]) / (at[k:] - at[:-k])))
 
 
-def shards(rows: DataFrame, order: int = ORDER, most: int = SHARD_ROWS):
-    """The model's shards, one at a time; a shard has about most rows at most, unless those after one byte are more."""
+def _after() -> Column:
     last = F.when(F.col("p").isNotNull(), _context(F.col("key"))).otherwise(F.col("key")).bitwiseAND(F.lit(255))
-    placed = rows.withColumn("after", F.when(F.col("k") == 1, -1).otherwise(last))
-    sizes = {r.after: r["count"] for r in placed.groupBy("after").count().collect()}  # 257 rows at most
-    groups, held, size = [], [], 0
+    return F.when(F.col("k") == 1, -1).otherwise(last)
+
+
+def parts(rows: DataFrame, most: int = SHARD_ROWS):
+    """Lists of bytes: the shards of a model. The rows after the bytes of one are about most at most, unless one byte has more."""
+    sizes = {r.after: r["count"] for r in rows.groupBy(_after().alias("after")).count().collect()}  # 257 rows at most
+    held, size = [], 0
     for b in range(256):
         if held and size + sizes.get(b, 0) > most:
-            groups.append(held)
+            yield held
             held, size = [], 0
         held.append(b)
         size += sizes.get(b, 0)
-    groups.append(held)
-    for g in groups:
-        own = placed.where(F.col("after").isin(-1, *g)) if len(groups) > 1 else placed
-        t = own.select("k", "key", F.coalesce("p", "back").alias("v"), F.col("p").isNotNull().alias("gram")).toArrow()
-        k, key, v, gram = (t.column(n).to_numpy() for n in ("k", "key", "v", "gram"))
-        v = np.log2(np.maximum(v, 1e-30)).astype(np.float32)
-        made = {(o, n): (key[(k == o) & (gram == x)].copy(), np.minimum(v[(k == o) & (gram == x)], 0)) for o in range(1, order + 1) for n, x in (("p", True), ("back", False))}
-        after = np.zeros(256, bool)
-        after[g] = True
-        yield Shard(made, order, after)
+    yield held
+
+
+def shard(rows: DataFrame, after: list[int], order: int, whole: bool) -> Shard:
+    """The model's part for positions after these bytes."""
+    own = rows if whole else rows.where(_after().isin(-1, *after))
+    t = own.select("k", "key", F.coalesce("p", "back").alias("v"), F.col("p").isNotNull().alias("gram")).toArrow()
+    k, key, v, gram = (t.column(n).to_numpy() for n in ("k", "key", "v", "gram"))
+    v = np.log2(np.maximum(v, 1e-30)).astype(np.float32)
+    made = {(o, n): (key[(k == o) & (gram == x)].copy(), np.minimum(v[(k == o) & (gram == x)], 0)) for o in range(1, order + 1) for n, x in (("p", True), ("back", False))}
+    on = np.zeros(256, bool)
+    on[after] = True
+    return Shard(made, order, on)
 
 
 def _scored(shared, names):
@@ -257,19 +263,24 @@ def _totals(batches):
 
 
 def perplexities(docs: DataFrame, keys: list[str], rows: DataFrame, order: int = ORDER, most: int = SHARD_ROWS) -> DataFrame:
-    """keys, perplexity and worst (that of the worst window) of every row of docs (null for an empty text). rows: a model."""
+    """keys, perplexity and worst (that of the worst window) of every row of docs (null for an empty text). rows: a model.
+
+    A shard is broadcast, used and let go before the next one is read, so the driver and an executor hold one at a time.
+    """
     sc = docs.sparkSession.sparkContext
     scores = [F.pow(F.lit(2.0), n).alias(x) for n, x in (("bits", "perplexity"), ("top", "worst"))]
-    parts = [sc.broadcast(s) for s in shards(rows, order, most)]
     whole = docs.select(*keys, text_of().alias("text"))
-    if len(parts) == 1:
+    dealt = list(parts(rows, most))
+    if len(dealt) == 1:
         schema = T.StructType([whole.schema[n] for n in keys]).add("bits", "double").add("top", "double")
-        return whole.mapInArrow(_scored(parts[0], keys), schema).select(*keys, *scores)
+        return whole.mapInArrow(_scored(sc.broadcast(shard(rows, dealt[0], order, True)), keys), schema).select(*keys, *scores)
     texts = settle(whole.select("text").groupBy(F.unhex(F.sha2("text", 256)).alias("digest")).agg(F.first("text").alias("text")), "texts")
     cells = None
-    for p in parts:
-        own = texts.mapInArrow(_cells(p), "digest binary, cells binary, n long")
-        cells = own if cells is None else cells.unionAll(own)
+    for own in dealt:
+        shared = sc.broadcast(shard(rows, own, order, False))
+        done = settle(texts.mapInArrow(_cells(shared), "digest binary, cells binary, n long"), "cells")
+        shared.destroy()
+        cells = done if cells is None else cells.unionAll(done)
     total = cells.groupBy("digest").agg(F.collect_list("cells").alias("parts"), F.first("n").alias("n")).mapInArrow(_totals, "digest binary, bits double, top double")
     mine = docs.select(*keys, F.unhex(F.sha2(text_of(), 256)).alias("__digest"))
     return mine.join(total, mine["__digest"] == total["digest"]).select(*(mine[k] for k in keys), *scores)

@@ -60,7 +60,7 @@ def test_perplexity(spark, most):
     want = Brute([t.encode() for t in train], 3)
     assert sum(want.p(b"ab" + bytes([x])) for x in range(256)) == pytest.approx(1)
     docs = spark.createDataFrame(list(enumerate(other)), "doc_id long, text string").selectExpr("*", "1 as bits", "2 as n", "3 as k")
-    assert (len(list(kneser.shards(fitted, 3, most))) > 1) == (most == 60)
+    assert (len(list(kneser.parts(fitted, most))) > 1) == (most == 60)
     got = {r.doc_id: r.perplexity for r in kneser.perplexities(docs, ["doc_id"], fitted, 3, most).collect()}
     for i, t in enumerate(other):
         assert got[i] == (pytest.approx(want.perplexity(t.encode()), rel=1e-4) if t else None)
