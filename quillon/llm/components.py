@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm._common import settle
+from quillon.llm._common import at_keys, settle
 
 ROUNDS = 60
 
@@ -21,8 +21,9 @@ def components(edges: DataFrame) -> DataFrame:
         if e.isEmpty():
             break
         both = e.union(e.select("b", "a"))  # of a, b: b is a neighbour of a
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("m").alias("a"), "b").where("a < b").distinct()
+        # n: the larger neighbours, of which one node can have a large part of all
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count(F.when(F.col("b") > F.col("a"), 1)).alias("n"))
+        large = at_keys(both.where("b > a"), settle(least.where("n > 0"), "least"), "a").select(F.col("m").alias("a"), "b").where("a < b").distinct()
         down = large.select(F.col("b").alias("n"), F.col("a").alias("s"))  # s < n
         least = down.groupBy("n").agg(F.min("s").alias("m"))
         # every smaller neighbour of n, and n itself, now hang on the smallest
