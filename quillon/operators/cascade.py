@@ -282,6 +282,20 @@ def reject_prefilter(df: DataFrame, id_col: str, text_col: str, question: str, j
     return last.where(F.col("score").isNull() | (F.col("score") > threshold)).select("id")
 
 
+def fitted_prefilter(df: DataFrame, id_col: str, text_col: str, question: str, judge: Judge, labels: DataFrame, recall: float = 0.9, alpha: float = 0.85) -> DataFrame:
+    """reject_prefilter with the threshold that labels (id, passed) certify; without one, every id is kept."""
+    rows = df.select(F.col(id_col).alias("id"), judge.score_column(F.col(text_col), question).alias("score"), "ordinal")
+    last = rows.groupBy("id").agg(F.max_by("score", "ordinal").alias("score"))
+    seen = last.join(labels.select("id", "passed"), "id").where("score is not null").select("score", F.col("passed").cast("int").alias("y")).collect()  # labels are a calibration sample
+    cut = beta.reject_cut([r.score for r in seen], [r.y for r in seen], recall, alpha)
+    return reject_prefilter(df, id_col, text_col, question, judge, cut if cut > -math.inf else None)
+
+
+def compose_seed(base: str | None, question: str, method: str, repetition: int) -> str | None:
+    """The calibration seed of one repetition, 'base:question/method:repetition'; none without a base."""
+    return None if base is None else f"{base}:{question}/{method}:{repetition}"
+
+
 def agreement(decisions: DataFrame) -> DataFrame:
     """agreement: share of labelled rows whose score has the sign of the label. decisions: score, label."""
     return decisions.where("label is not null and score is not null").agg(F.avg(((F.col("score") >= 0) == F.col("label")).cast("int")).alias("agreement"))

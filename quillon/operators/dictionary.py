@@ -90,9 +90,13 @@ def anchors(df: DataFrame, text: str, label: str, most: int = 3, least_df: int =
     return out.orderBy(F.col("z").desc(), "term").limit(top) if top else out
 
 
+def _bucket(term: Column, size: int) -> Column:
+    return (F.conv(F.left(F.md5(term), F.lit(8)), 16, 10).cast("long") % size).cast("int")
+
+
 def hashed_embedding(df: DataFrame, key: str, text: str, size: int = 512) -> DataFrame:
     """key, vector: counts of hashed n-grams, of length 1."""
-    t = df.select(key, F.explode(ngrams(F.col(text), 2)).alias("term")).select(key, F.pmod(F.xxhash64("term"), F.lit(size)).cast("int").alias("i"))
+    t = df.select(key, F.explode(ngrams(F.col(text), 2)).alias("term")).select(key, _bucket(F.col("term"), size).alias("i"))
     c = t.groupBy(key, "i").agg(F.count("*").cast("double").alias("c"))
     g = c.groupBy(key).agg(F.sqrt(F.sum(F.col("c") * F.col("c"))).alias("len"), F.map_from_entries(F.collect_list(F.struct("i", "c"))).alias("m"))
     return g.select(key, F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0.0)) / F.col("len")).alias("vector"))

@@ -152,5 +152,5 @@ def ordered_by(df: DataFrame, column: str, order: list[str], *then) -> DataFrame
 
 def shuffled(df: DataFrame, key: str, seed: str, most: int | None = None) -> DataFrame:
     """df in a seeded order; with most, its first rows."""
-    out = df.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key)
+    out = df.orderBy(F.md5(F.concat(F.lit(seed + ":"), F.col(key).cast("string"))), key)
     return out.limit(most) if most is not None else out

@@ -126,10 +126,12 @@ def single_pass_join(entities: DataFrame, texts: DataFrame, key: str, text: str,
     return JoinOutcome(rows, calls)
 
 
-def block_join(entities: DataFrame, texts: DataFrame, key: str, text: str, question: str, judge: Judge, size1: int, size2: int) -> JoinOutcome:
+def block_join(entities: DataFrame, texts: DataFrame, key: str, text: str, question: str, judge: Judge, size1: int, size2: int, budget: int | None = None, prompt: int = 64) -> JoinOutcome:
     """Blocks of both sides; every pair of blocks that shares an id is one call, over the rows that share one.
 
-    The blocks that meet come from an equi-join of their ids, so pairs of blocks without a common id never exist.
+    The blocks that meet come from an equi-join of their ids, so pairs of blocks without a common id never exist. With a
+    budget of tokens, a call has what its rows and the prompt leave of it for the completion, up to completion_cap; a call
+    that would have none is refused. Refused and incomplete calls overflow.
     """
     left = with_ordinal(entities.select(F.col(key).alias("k")).distinct(), "k", name="n").withColumn("block1", F.floor((F.col("n") - 1) / size1)).drop("n")
     right = with_ordinal(texts.select(F.col(key).alias("k"), F.col(text).alias("t")), "k", "t", name="ordinal").withColumn("block2", F.floor((F.col("ordinal") - 1) / size2))
@@ -137,7 +139,9 @@ def block_join(entities: DataFrame, texts: DataFrame, key: str, text: str, quest
 
     def call(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("ordinal")
-        got = judge.decide(g["t"].fillna("").tolist(), question)
+        t = g["t"].fillna("").tolist()
+        room = None if budget is None else budget - prompt - sum(map(token_count_py, t))
+        got = judge.decide(t, question) if room is None else judge.decide_within(t, question, completion_cap(len(t), room)) if room > 0 else {}
         return pd.DataFrame({"k": g["k"], "ordinal": g["ordinal"], "t": g["t"], "passed": [got.get(i) == YES for i in range(len(g))], "block1": g["block1"], "block2": g["block2"], "overflow": any(i not in got for i in range(len(g)))})
 
     schema = met.select("k", "ordinal", "t").schema.add("passed", "boolean").add("block1", "long").add("block2", "long").add("overflow", "boolean")
@@ -153,7 +157,7 @@ def adaptive_join(entities: DataFrame, texts: DataFrame, key: str, text: str, qu
     out = None
     for _ in range(rounds):
         b1, b2 = optimal_block(m1, m2, result, 64, budget, selectivity)
-        out = block_join(entities, texts, key, text, question, judge, b1, b2)
+        out = block_join(entities, texts, key, text, question, judge, b1, b2, budget)
         if out.calls.where("overflow").isEmpty():
             break
         selectivity *= factor

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,11 +18,12 @@ def _short(text: Column) -> Column:
     return F.length(F.trim(F.coalesce(text, F.lit("")))) < SHORT
 
 
-def judged(df: DataFrame, text: str, question: str, judge: Judge, out: str = "answer") -> DataFrame:
+def judged(df: DataFrame, text: str, question: str, judge: Judge, out: str = "answer", cache: AnswerCache | None = None) -> DataFrame:
     """df with the answer to question in column out.
 
     Short texts are No without a call. A judge in Python is called once for each distinct text, and its answers are stored
-    before they are joined back, so that no rerun pays twice. A failure counts as No.
+    before they are joined back, so that no rerun pays twice; with a cache, what an earlier query asked is not asked again.
+    A failure counts as No.
     """
     native = judge.answer_column(F.col(text), question)
     if native is not None:
@@ -32,7 +35,13 @@ def judged(df: DataFrame, text: str, question: str, judge: Judge, out: str = "an
             yield pd.DataFrame({"__key": b["__key"], "__answer": [a or "No" for a in judge.answers(b["__text"].tolist(), question)]})
 
     wanted = df.where(~_short(F.col(text))).select(key.alias("__key"), F.col(text).alias("__text")).groupBy("__key").agg(F.first("__text").alias("__text"))
+    if cache is not None:
+        old = store(cache.known(question), "known")
+        wanted = wanted.join(old, "__key", "left_anti")
     told = store(wanted.mapInPandas(call, "__key string, __answer string"), "answers")
+    if cache is not None:
+        cache.learn(question, told)
+        told = told.unionByName(old)
     return df.withColumn("__k", key).join(told, F.col("__k") == F.col("__key"), "left").withColumn(out, F.coalesce("__answer", F.lit("No"))).drop("__k", "__key", "__answer")
 
 
@@ -60,20 +69,49 @@ def run(spark: SparkSession, query: str | SemanticQuery, judge: Judge, tables: d
         df = df.where(q.where)
     for p in q.predicates:
         df = sem_filter(df, p.column, p.question, judge, p.expected)
-    if q.order:
-        df = df.orderBy(*(F.expr(o.rsplit(None, 1)[0]).desc() if o.lower().endswith(" desc") else F.expr(o.removesuffix(" asc").removesuffix(" ASC")) for o in q.order))
-    if q.limit is not None:
-        df = df.limit(q.limit)
     wanted = []
     for n, (expr, alias) in enumerate(q.items):
         if isinstance(expr, tuple):
+            # a limit comes before the calls
+            df = df if q.limit is None or q.group else _relational(df, q, "*", True)
             df = summary(df, expr[1], judge, f"__summary{n}")
-            wanted.append(F.col(f"__summary{n}").alias(alias))
+            wanted.append(f"`__summary{n}` AS `{alias}`")
         elif expr == "*":
-            wanted += [F.col(c) for c in df.columns if not c.startswith("__summary")]
+            wanted += [f"`{c}`" for c in df.columns if not c.startswith("__summary")]
         else:
-            wanted.append(F.expr(expr).alias(alias) if alias else F.expr(expr))
-    return df.select(*wanted)
+            wanted.append(f"{expr} AS `{alias}`" if alias else expr)
+    return _relational(df, q, ", ".join(wanted))
+
+
+def _relational(df: DataFrame, q: SemanticQuery, items: str, plain: bool = False) -> DataFrame:
+    """What Spark SQL does of a query once its filters have run; plain: only order and limit."""
+    parts = ["SELECT DISTINCT" if q.distinct and not plain else "SELECT", items, "FROM {rows}"]
+    if q.group and not plain:
+        parts += ["GROUP BY", q.group, *(["HAVING", q.having] if q.having else [])]
+    if q.order:
+        parts += ["ORDER BY", ", ".join(q.order)]
+    if q.limit is not None:
+        parts += ["LIMIT", str(q.limit)]
+    return df.sparkSession.sql(" ".join(p.replace("{", "{{").replace("}", "}}") if p != "FROM {rows}" else p for p in parts), rows=df)
+
+
+class AnswerCache:
+    """Answers that outlive a query: a table at path of the digests of questions and texts, and what was said.
+
+    judged() asks only for texts whose digest the table lacks and appends what it learns.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+        spark.createDataFrame([], "question string, __key string, __answer string").write.mode("ignore").parquet(path)
+
+    def known(self, question: str) -> DataFrame:
+        # a text that two writers learnt of at once has one answer
+        rows = self.spark.read.parquet(self.path).where(F.col("question") == hashlib.sha256(question.encode()).hexdigest())
+        return rows.groupBy("__key").agg(F.min("__answer").alias("__answer"))
+
+    def learn(self, question: str, told: DataFrame) -> None:
+        told.select(F.lit(hashlib.sha256(question.encode()).hexdigest()).alias("question"), "__key", "__answer").write.mode("append").parquet(self.path)
 
 
 def register(spark: SparkSession, judge: Judge) -> None:
