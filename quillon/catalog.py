@@ -173,14 +173,6 @@ def sem_summary(spark, d):
     return semantic.run(spark, q, EXPENSIVE, {"documents": table(spark, d, "documents")})
 
 
-@query("answer_cache", f"SELECT count(DISTINCT text) FILTER (WHERE {_SHORT_OK}) AS calls, count(*) AS n, count(*) FILTER (WHERE {_SHORT_OK} AND regexp_matches(text, '(?i)hand')) AS yes FROM documents")
-def answer_cache(spark, d):
-    docs = table(spark, d, "documents")
-    said = semantic.judged(docs, "text", WITH_HAND, EXPENSIVE, "said")
-    calls = F.countDistinct(F.when(F.length(F.trim("text")) >= 10, F.col("text")))
-    return said.agg(calls.alias("calls"), F.count("*").alias("n"), F.count(F.when(F.col("said") == "Yes", 1)).alias("yes"))
-
-
 @query("frozen_band", f"SELECT doc_id, CASE WHEN h >= 3 THEN 'accept' WHEN h <= 0 THEN 'reject' ELSE 'escalated' END AS route, CASE WHEN h >= 3 THEN true WHEN h <= 0 THEN false ELSE regexp_matches(text, '(?i)hand') END AS passed FROM (SELECT *, len(regexp_extract_all(text, '(?i)(hand|ouwh|inging)')) AS h FROM documents)")
 def frozen_band(spark, d):
     from quillon.functions.beta import Band
@@ -212,9 +204,10 @@ def semi_join(spark, d):
     return table(spark, d, "orders").join(c, F.col("o_custkey") == F.col("c_custkey"), "left_semi").select("o_orderkey", "o_custkey")
 
 
-@query("anti_join_check", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
+@query("anti_join_check", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' AND o_orderkey % 5 = 0 AND o_custkey IS NOT NULL)")
 def anti_join_check(spark, d):
-    return joins.dangling(table(spark, d, "customer"), "c_custkey", table(spark, d, "orders"), "o_custkey").select("c_custkey")
+    some = table(spark, d, "orders").where("o_orderstatus = 'F' and o_orderkey % 5 = 0")
+    return joins.dangling(table(spark, d, "customer"), "c_custkey", some, "o_custkey").select("c_custkey")
 
 
 @query("left_join_chain", "SELECT o_orderkey, c_name, n_name FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_acctbal > 0) ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey")
@@ -244,10 +237,10 @@ def list_lookup_join(spark, d):
 
 def _sides(spark, d):
     docs = table(spark, d, "documents")
-    return docs.where("lang = 'en' and n_chars < 4000").select("doc_id", "source"), docs.select("doc_id", "text")
+    return docs.where("lang = 'en'").select("doc_id", "source"), docs.select("doc_id", "text")
 
 
-_PAIRS = "FROM documents WHERE lang = 'en' AND n_chars < 4000"
+_PAIRS = "FROM documents WHERE lang = 'en'"
 
 
 @query("dry_run_join", f"SELECT doc_id, source {_PAIRS} AND regexp_matches(text, '(?i)(hand|reed|ouwh)')")
@@ -265,11 +258,6 @@ def block_join(spark, d):
     return joins.block_join(*_sides(spark, d), "doc_id", "text", WITH_HAND, EXPENSIVE, 200, 300).rows.select("doc_id", "source")
 
 
-@query("adaptive_join", f"SELECT doc_id, source {_PAIRS} AND regexp_matches(text, '(?i)hand')")
-def adaptive_join(spark, d):
-    return joins.adaptive_join(*_sides(spark, d), "doc_id", "text", WITH_HAND, EXPENSIVE, budget=200_000).rows.select("doc_id", "source")
-
-
 @query("upsert_by_key", "SELECT c_nationkey, c_mktsegment, count(*) AS n FROM customer WHERE c_nationkey >= 5 GROUP BY 1, 2 UNION ALL SELECT c_nationkey, c_mktsegment, -count(*) FROM customer WHERE c_nationkey < 5 GROUP BY 1, 2")
 def upsert_by_key(spark, d):
     g = table(spark, d, "customer").groupBy("c_nationkey", "c_mktsegment").agg(F.count("*").alias("n"))
@@ -338,11 +326,11 @@ def row_cascade_certified(spark, d):
     return cascade.row_cascade(table(spark, d, "documents"), "doc_id", "text", WITH_REED, CHEAP, EXPENSIVE, cascade.CascadeConfig(budget=200)).decisions.select("id", "route", "passed")
 
 
-@query("lookup_cascade", "SELECT doc_id AS id, q.quality = 1 AS passed, CASE WHEN n_chars >= 2000 THEN 'accept' WHEN n_chars <= -2000 THEN 'reject' ELSE 'escalated' END AS route FROM documents JOIN labels q USING (doc_id) WHERE length(trim(text)) >= 10 AND n_chars < 2000")
+@query("lookup_cascade", "SELECT doc_id AS id, CASE WHEN n_chars >= 2000 THEN true WHEN n_chars <= 1000 THEN false ELSE quality = 1 END AS passed, CASE WHEN n_chars >= 2000 THEN 'accept' WHEN n_chars <= 1000 THEN 'reject' ELSE 'escalated' END AS route FROM documents JOIN labels USING (doc_id) WHERE length(trim(text)) >= 10")
 def lookup_cascade(spark, d):
-    docs = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id").where("length(trim(text)) >= 10 and n_chars < 2000")
-    judge = LookupJudge(F.col("quality") == 1, F.col("n_chars"))
-    return cascade.row_cascade(docs, "doc_id", "text", "is it good?", judge, judge, cascade.CascadeConfig(manual=2000.0), more=["quality", "n_chars"]).decisions.select("id", "route", "passed")
+    docs = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id").where("length(trim(text)) >= 10")
+    judge = LookupJudge(F.col("quality") == 1, F.col("n_chars") - 1500)
+    return cascade.row_cascade(docs, "doc_id", "text", "is it good?", judge, judge, cascade.CascadeConfig(manual=500.0), more=["quality", "n_chars"]).decisions.select("id", "route", "passed")
 
 
 @query("batch_cascade_rows", "SELECT doc_id AS id, 'label' AS route, regexp_matches(text, '(?i)hand') AS passed FROM documents")
@@ -662,11 +650,6 @@ def question_to_query(spark, d):
     return semantic.run(spark, sql, LexicalJudge({asked: ["hand"]}), {"documents": docs}).select("doc_id")
 
 
-@query("evaluation_split", None)
-def evaluation_split(spark, d):
-    return table(spark, d, "documents").select("doc_id", dictionary.split_tag(F.col("doc_id"), "42").alias("split"))
-
-
 @query("value_counts", "SELECT lang, source, count(*) AS n FROM documents GROUP BY 1, 2")
 def value_counts(spark, d):
     return table(spark, d, "documents").groupBy("lang", "source").agg(F.count("*").alias("n"))
@@ -687,3 +670,6 @@ def budget_packing(spark, d):
     packed = joins.packed(b, 400, 10)
     by = packed.groupBy("range", "batch").agg(F.count("*").alias("n"), F.sum(tx.token_count(F.col("text"))).alias("t"))
     return by.agg(F.sum("n").alias("rows"), F.sum("t").alias("tokens"))
+
+
+from quillon import catalog_parts  # noqa: E402, F401  registers its queries with query()

@@ -114,3 +114,45 @@ def test_packing():
     assert joins.pack([30, 30, 30], 100, 25, wanted=10) == [0, 0, 1]
     assert joins.completion_cap(1, 1000) == 48 and joins.completion_cap(20, 1000) == 336 and joins.completion_cap(90, 1000) == 512
     assert joins.optimal_block(10, 10, 8, 0, 1000, 0.0) == (50, 50)
+
+
+def test_fitted_prefilter_and_seed(spark):
+    from quillon.sources.judges import LexicalJudge
+
+    judge = LexicalJudge({"q": ["x"]})
+    rows = [(i, "x" * (5 if i % 2 else 0) + " text", 0) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, t string, ordinal int")
+    labels = spark.createDataFrame([(i, bool(i % 2)) for i in range(0, 400)], "id long, passed boolean")
+    kept = {r.id for r in cascade.fitted_prefilter(df, "id", "t", "q", judge, labels).collect()}
+    assert kept == {i for i in range(400) if i % 2}
+    assert cascade.fitted_prefilter(df, "id", "t", "q", judge, labels.where("id < 3")).count() == 400
+    assert cascade.compose_seed(None, "q", "m", 1) is None and cascade.compose_seed("7", "q", "m", 1) == "7:q/m:1"
+
+
+def test_profile_equals_the_plain_fit(spark):
+    import random
+
+    from quillon.functions import beta
+
+    rng = random.Random(1)
+    rows = [(q, round(rng.gauss(2 * y, 1), digits), int(y)) for q, n, digits in (("a", 1500, 3), ("b", 300, 1), ("c", 40, 2)) for y in (rng.random() < 0.4 for _ in range(n))] + [("d", 1.0, 1)]
+    got = {r.question: (r.accept, r.reject, r.n) for r in cascade.profile(spark.createDataFrame(rows, "question string, score double, label int")).collect()}
+    for q in "abcd":
+        own = [x for x in rows if x[0] == q]
+        assert got[q] == (*beta.fit_thresholds([x[1] for x in own], [x[2] for x in own]), len(own))
+
+
+def test_excerpts_equal_the_plain_ones(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from quillon.functions import text
+
+    rng = random.Random(1)
+    texts = ["x" * 400, None, ""] + [" ".join("".join(rng.choice("abhandq") for _ in range(rng.randint(1, 30))) for _ in range(rng.randint(1, 120))) for _ in range(150)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    for width in (60, 300):
+        for patterns in (["ha+nd", "q"], ["zzzz"], []):
+            for r in df.select("i", text.excerpt_column(F.col("t"), patterns, width).alias("e")).collect():
+                assert r.e == text.excerpt(texts[r.i], patterns, width)

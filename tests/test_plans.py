@@ -106,3 +106,28 @@ def test_small_functions():
     cut = excerpt(long, ["needle"], 60)
     assert len(cut) <= 60 and "needle" in cut and cut.startswith("...") and cut.endswith("...")
     assert excerpt("short text", ["x"]) == "short text"
+
+
+def test_questions_are_not_replaced_by_a_word_in_them():
+    asked = "which films would viewers recommend the soundtrack of?"
+    assert dialect.semantic_part(asked) == asked
+    assert dialect.semantic_part("show me movies with positive reviews") == "is the text positive?"
+    assert dialect.semantic_part("comedies with bad reviews?") == "is the text negative?"
+
+
+def test_registered_functions(spark):
+    from quillon.operators import semantic
+    from quillon.sources.judges import LexicalJudge
+
+    semantic.register(spark, LexicalJudge({"rain?": ["rain"]}))
+    spark.createDataFrame([(1, "much rain fell there"), (2, "the sun was out"), (3, "rain"), (4, None)], "id int, t string").createOrReplaceTempView("quillon_sky")
+    got = {r.id: (r.a, r.s) for r in spark.sql("SELECT id, sem_answer(t, 'rain?') AS a, sem_summary(t) AS s FROM quillon_sky").collect()}
+    assert got == {1: ("Yes", "much rain fell there"), 2: ("No", "the sun was out"), 3: ("No", "(no review)"), 4: ("No", "(no review)")}
+
+
+def test_comparisons_reach_the_scan(spark):
+    from quillon.plans import predicates
+
+    df = predicates.apply_predicates(spark.read.parquet("/root/testdata/sf0.001/part.parquet"), [{"column": "p_size", "op": "ge", "value": "10"}, {"column": "p_size", "op": "in", "value": ["12", 13]}], numeric=["p_size"])
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(p_size,10)" in plan and "In(p_size, [12,13])" in plan
