@@ -340,5 +340,6 @@ def classify(docs: DataFrame, labels: DataFrame, order: int = ORDER, high: float
 
 
 def op8_quality_classifier(spark, sf_dir: str) -> DataFrame:
+    """doc_id, perplexity, worst, their bounds and kept of every document; null and empty texts are not kept."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     return classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))

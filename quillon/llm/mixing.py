@@ -117,6 +117,7 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: i
 
 
 def op3_mixing(spark, sf_dir: str) -> DataFrame:
+    """doc_id, size, source_size, target and taken of every document; a null text has size 0, null sources are one."""
     return mix(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source"))
 
 

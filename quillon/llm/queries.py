@@ -17,4 +17,4 @@ QUERIES = {
     "op10_secret_scans": secrets.op10_secret_scans,
 }
 
-ORACLES: dict[str, str] = {"op4_quality_rules": rules.OP4_SQL}
+ORACLES: dict[str, str] = {"op1_chat_formatting": chat.OP1_SQL, "op2_substring_dedup": substrings.OP2_SQL, "op4_quality_rules": rules.OP4_SQL}

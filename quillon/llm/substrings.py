@@ -248,5 +248,18 @@ def dedup(docs: DataFrame, keys: list[str], length: int = LENGTH, period: int =
     return out.select(*(rows[c] for c in keys), "n_words", "n_removed", "kept_sha256", *(["kept"] if texts else []))
 
 
+#: The same for DuckDB, by comparing the windows themselves (their MD5).
+OP2_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT r, i, md5(array_to_string(w[i:i + {LENGTH - 1}], ' ')) AS h FROM (SELECT r, w, unnest(range(1, len(w) - {LENGTH - 2})) AS i FROM d WHERE len(w) >= {LENGTH})),
+m AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY h) AS n FROM g) WHERE n > 1),
+c AS (SELECT DISTINCT r, unnest(range(i, i + {LENGTH})) AS j FROM m),
+p AS (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS j FROM d),
+k AS (SELECT p.r, count(*) AS n, string_agg(word, ' ' ORDER BY p.j) AS t FROM p ANTI JOIN c ON p.r = c.r AND p.j = c.j GROUP BY 1)
+SELECT doc_id, len(w) AS n_words, len(w) - coalesce(k.n, 0) AS n_removed, sha256(coalesce(k.t, '')) AS kept_sha256 FROM d LEFT JOIN k USING (r)
+"""
+
+
 def op2_substring_dedup(spark, sf_dir: str) -> DataFrame:
+    """doc_id, n_words, n_removed and kept_sha256 of every document; a null text has no words."""
     return dedup(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), ["doc_id"], texts=False)

@@ -101,6 +101,7 @@ def count_tokens(docs: DataFrame, keys: list[str], tokenizer: str, cache: str |
 
 
 def op5_token_counts(spark, sf_dir: str) -> DataFrame:
+    """doc_id, n_bytes, n_tokens and over_limit of every document; a null text is empty."""
     import public_tokenizers
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
