@@ -1,13 +1,13 @@
-"""Near copies by similarity: SimHash comparison in tiles of texts that share shingle minima, then an exact check.
+"""Near copies by similarity: tiled exact comparison of wide SimHash fingerprints, then an exact check.
 
-Fingerprints of 64 bits alone can't tell texts of similarity 0.8: these differ in some ten bits, and up to twenty, a
-radius at which no tile of population counts is far from another. So tiles are dealt by shared minima of shingle hashes
-(BANDS keys of ROWS minima each: a pair of similarity 0.8 shares no key with a chance of 0.000003), fingerprints within a tile
-are compared by exclusive-or and bit counts, and the pairs that are left are checked on their sets of shingles.
+Fingerprints of 64 bits alone can't tell texts of similarity 0.8: these differ in some ten bits, and up to twenty, as some
+unlike ones do. So op6's operator compares fingerprints of 256 bits, all with all whose sizes allow the similarity
+(simhash.wide_links), by exclusive-or and bit counts; the components of its links are classes, and no similar pair lies in
+two (but for a chance of 0.0000003 at most, see there). Within a class the pairs are checked on their sets of shingles.
 
-Texts with the same words (lower-cased A-Z) are one node. In each tile all nodes first meet one leader; nodes whose
+Texts with the same words (lower-cased A-Z) are one node. In each class all nodes first meet one leader; nodes whose
 components then differ meet the leaders of the outermost components; only what still differs is compared pair by pair, in
-blocks, so that a tile of copies of one text costs one check for each of them and no pair of places is formed.
+blocks, so that a class of copies of one text costs one check for each of them and no pair of places is formed.
 
 Defined results: texts without words are copies of each other; fewer words than a shingle are one shingle; nulls count as
 empty texts; repeated rows get equal results; an empty table gives an empty result; other columns are left out.
@@ -25,13 +25,13 @@ from pyspark.sql import types as T
 
 from quillon.llm._common import at_keys, settle
 from quillon.llm.components import components
-from quillon.llm.simhash import SEED, majority
+from quillon.llm.simhash import SEED, wide, wide_links
+from quillon.sources.stored import prefixed
 
 SHINGLE, SIMILARITY = 5, 0.8
-BANDS, ROWS = 24, 4
-#: Bits by which fingerprints of similar sets may differ: ten are expected at 0.8, with a deviation of three. Sets of fewer
-#: than SMALL shingles, whose bits vary more, are checked whatever their fingerprints.
-RADIUS, SMALL = 24, 8
+#: Bits by which the first words of similar sets' fingerprints may differ: ten are expected at 0.8, with a deviation of three, and
+#: more than RADIUS have a chance of 0.000000002. Sets of fewer than SMALL shingles, whose bits vary more, are checked whatever these.
+RADIUS, SMALL = 30, 8
 #: Checks of a leader in one group, members of a block, and rounds of leaders before pairs are compared in blocks.
 CHECKS, BLOCK, LEADERS = 128, 256, 2
 #: Bytes of sets that a block holds.
@@ -40,8 +40,6 @@ SET_BYTES = 32 << 20
 BROADCAST_KEYS = 100_000
 
 _RNG = np.random.default_rng(SEED)
-_TIMES, _PLUS = (_RNG.integers(0, 2**64, BANDS * ROWS, np.uint64) for _ in range(2))
-_TIMES |= np.uint64(1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _BLANK = re.compile(rb"[\x20\x09-\x0D]")
 
@@ -106,30 +104,19 @@ def shingle_set(text: bytes, span: int = SHINGLE) -> tuple[bytes, np.ndarray]:
     return node, _distinct(out)
 
 
-def _bands(h: np.ndarray) -> np.ndarray:
-    low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(h), 256):  # small enough for a processor's cache
-        low = np.minimum(low, (h[None, at : at + 256] * _TIMES[:, None] + _PLUS[:, None]).min(axis=1))
-    keys = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for m in low.reshape(BANDS, ROWS).T:
-        keys = (keys ^ m) * _MIX
-        keys ^= keys >> np.uint64(29)
-    return keys.view(np.int64)
-
-
 def _sketched(span: int):
     def run(batches):
         for batch in batches:
-            nodes, fps, sizes, bands = [], [], [], []
+            nodes, prints, sizes = [], [], []
             for x in batch.column("text").cast(pa.binary()):
                 node, h = shingle_set(x.as_py() or b"", span)
                 nodes.append(node)
-                fps.append(np.uint64(majority(h)).view(np.int64) if len(h) else 0)
+                prints.append(wide(h).tobytes())
                 sizes.append(len(h))
-                bands.append(_bands(h) if len(h) else np.zeros(0, np.int64))
             names = [n for n in batch.schema.names if n != "text"]
-            new = [pa.array(nodes, pa.binary()), pa.array(fps, pa.int64()), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *new], names=[*names, "node", "fp", "size", "bands"])
+            fps = pa.array([np.frombuffer(x, np.int64, 1)[0] for x in prints], pa.int64())
+            new = [pa.array(nodes, pa.binary()), fps, pa.array(sizes, pa.int64()), pa.array(prints, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *new], names=[*names, "node", "fp", "size", "print"])
 
     return run
 
@@ -185,7 +172,7 @@ def check(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 
 
 def _linked(radius: int, similarity: float):
-    """Rows by tile (band, i, j), side 0 first: a forest of the similar pairs of different roots, each checked on its sets.
+    """Rows by tile (band: a class, i, j), side 0 first: a forest of the similar pairs of different roots, each checked on its sets.
 
     A pair whose roots the tile has linked already is not compared, so no tile yields more links than it has nodes.
     """
@@ -255,26 +242,32 @@ def _linked(radius: int, similarity: float):
 
 
 def _in_blocks(mixed: DataFrame, sets: DataFrame, radius: int, similarity: float) -> DataFrame:
-    """Links a, b of mixed (band, node, fp, size, root): each tile in pairs of blocks of BLOCK nodes and SET_BYTES of sets."""
-    parts = settle(mixed.groupBy("band").agg(F.count("*").alias("n"), F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") * 4 / SET_BYTES)).cast("int").alias("parts")), "parts")
-    placed = at_keys(mixed, parts).withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
-        "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"), "node", "fp", "size", "root"
+    """Links a, b of mixed (band, node, fp, size, root): each tile in pairs of blocks of BLOCK nodes and SET_BYTES of sets.
+
+    Pairs of blocks are numbered, those of the largest tiles first, and dealt to the tasks in turn.
+    """
+    parts = mixed.groupBy("band").agg(F.count("*").alias("n"), F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") * 4 / SET_BYTES)).cast("long").alias("parts"))
+    parts = settle(parts.withColumns({"less": -F.col("parts"), "pairs": F.expr("parts * (parts + 1) div 2")}), "parts")
+    parts = settle(prefixed(parts, ["less", "band"], {"pairs": "start"}).select("band", "n", "parts", "start"), "numbered")
+    placed = at_keys(mixed, parts).withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")))
+    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).select(
+        "band", "parts", "start", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"), "node", "fp", "size", "root"
     )
-    ranked = dealt.join(sets, "node").repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "side")
+    tasks = int(mixed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    turn = F.pmod(F.expr("start + i * parts - i * (i - 1) div 2 + j - i"), F.lit(tasks)).cast("int")
+    ranked = dealt.withColumn("turn", turn).drop("parts", "start").join(sets, "node").repartitionById(tasks, "turn").drop("turn").sortWithinPartitions("band", "i", "j", "side")
     return settle(ranked.mapInArrow(_linked(radius, similarity), "a binary, b binary"), "similar")
 
 
 def groups(docs: DataFrame, key: str, carry: list[str] = [], span: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """key, the columns to carry, and group, of each row of docs: equal where a chain of similar texts connects the rows."""
     texts = docs.select(F.col(key).alias("key"), *(F.col(c).alias(f"__{i}") for i, c in enumerate(carry)), F.col("text").cast("string").alias("text"))
-    rows = settle(texts.mapInArrow(_sketched(span), T.StructType(texts.schema.fields[:-1]).add("node", "binary").add("fp", "long").add("size", "long").add("bands", T.ArrayType(T.LongType()))), "sketches")
-    places = rows.groupBy("node").agg(F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("bands").alias("bands")).select(F.explode("bands").alias("band"), "node", "fp", "size")
-    places = settle(places, "places")
-    tiles = settle(places.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "bands")  # a node is in a band once
-    shared = settle(at_keys(places, tiles).drop("n"), "tiles")
+    rows = settle(texts.mapInArrow(_sketched(span), T.StructType(texts.schema.fields[:-1]).add("node", "binary").add("fp", "long").add("size", "long").add("print", "binary")), "sketches")
+    prints = settle(rows.groupBy("node").agg(*(F.first(c).alias(c) for c in ("fp", "size", "print"))), "prints")
+    classes = settle(components(wide_links(prints.select("node", "print", "size"), similarity)), "classes")
+    shared = settle(prints.join(classes, "node").select(F.xxhash64("root").alias("band"), "node", "fp", "size"), "tiles")
 
-    # one row of each text that shares a tile stands for it in the checks; other texts are not hashed again
+    # one row of each text that shares a class stands for it in the checks; other texts are not hashed again
     chosen = rows.groupBy("node").agg(F.min("key").alias("key")).join(shared.select("node").distinct(), "node", "left_semi")
     chosen = settle(chosen.select("key", "node"), "chosen")
     few = F.broadcast(chosen) if chosen.count() <= BROADCAST_KEYS else chosen
