@@ -163,18 +163,28 @@ def parsed_decisions(spark, d):
     return table(spark, d, "labels").select("doc_id", parsed(text).alias("decision"))
 
 
+# Fixed value: keys in the range of a batch.
+_KEYS = 1024
+
+
+def _batches(customers, nations):
+    """n_nationkey, n_name, xs: the customers of a nation (c_custkey, w) in a range of keys, so that a batch doesn't grow with the table."""
+    c = customers.join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
+    xs = F.sort_array(F.collect_list(F.struct("c_custkey", "w")))
+    return c.groupBy("n_nationkey", "n_name", F.floor(F.col("c_custkey") / _KEYS).alias("range")).agg(xs.alias("xs")).drop("range")
+
+
 @query("parsed_batches", "SELECT c_custkey, n_name, CASE WHEN c_custkey % 3 = 0 THEN 'YES' WHEN c_custkey % 3 = 1 THEN 'NO' ELSE 'UNCERTAIN' END AS decision FROM customer JOIN nation ON c_nationkey = n_nationkey")
 def parsed_batches(spark, d):
-    """Decisions of a batch for each nation, written as lines or as JSON and read back by number."""
+    """Decisions of batches of a nation's customers, written as lines or as JSON and read back by number."""
     word = F.when(F.col("c_custkey") % 3 == 0, "match").when(F.col("c_custkey") % 3 == 1, "no").otherwise("unsure")
-    c = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-    rows = c.groupBy("n_nationkey", "n_name").agg(F.sort_array(F.collect_list(F.struct("c_custkey", word.alias("w")))).alias("xs"))
+    rows = _batches(table(spark, d, "customer").withColumn("w", word), table(spark, d, "nation"))
     line = F.array_join(F.transform("xs", lambda x, i: F.concat(F.lit("PAIR_"), (i + 1).cast("string"), F.lit(": "), F.upper(x["w"]))), "\n")
     json = F.concat(F.lit("```json\n["), F.array_join(F.transform("xs", lambda x, i: F.concat(F.lit('{"id": '), (i + 1).cast("string"), F.lit(', "decision": "'), x["w"], F.lit('"}'))), ", "), F.lit("]\n```"))
 
     @F.pandas_udf("array<string>")
     def parsed(t: pd.Series, n: pd.Series) -> pd.Series:
-        return pd.Series([[judges.parse_batch(x, k).get(i) for i in range(k)] for x, k in zip(t, n)])
+        return pd.Series(judges.parse_batches(t, n))
 
     got = rows.select("n_name", F.explode(F.arrays_zip(F.col("xs.c_custkey").alias("k"), parsed(F.when(F.col("n_nationkey") % 2 == 0, line).otherwise(json), F.size("xs")).alias("s"))).alias("x"))
     return got.select(F.col("x.k").alias("c_custkey"), "n_name", F.col("x.s").alias("decision"))

@@ -76,6 +76,18 @@ def test_parsers():
     assert judges.log_odds({"yes": -9.0}) > 0 > judges.log_odds({"No": -0.01}) and judges.log_odds({"x": 0.0}) is None
 
 
+def test_batches_are_parsed_once(spark, monkeypatch):
+    from quillon import catalog_parts
+
+    asked, parse = [], judges.parse_batch
+    monkeypatch.setattr(judges, "parse_batch", lambda text, n: asked.append(n) or parse(text, n))
+    assert judges.parse_batches(["PAIR_1: YES\nPAIR_3: NO", "1) no", ""], [3, 1, 0]) == [["YES", None, "NO"], ["NO"], []]
+    assert asked == [3, 1, 0]
+    customers = spark.range(5000).selectExpr("id AS c_custkey", "CAST(0 AS int) AS c_nationkey", "'no' AS w")
+    sizes = [len(r.xs) for r in catalog_parts._batches(customers, spark.createDataFrame([(0, "A")], "n_nationkey int, n_name string")).collect()]
+    assert sum(sizes) == 5000 and max(sizes) <= 1024
+
+
 def test_retries(monkeypatch):
     import io
     import urllib.error
