@@ -71,15 +71,20 @@ def proxy_labels(text: str, seeds: list[str], topic: list[str]) -> Column:
     return F.when(pattern_mask(text, seeds), 1).when(pattern_mask(text, topic), 0)
 
 
+#: Texts of a task that counts terms: its map of terms then fits into memory, however large the tables' partitions are.
+TEXTS = 1024
+
+
 def document_frequency(df: DataFrame, text: str, label: str, most: int = 3) -> DataFrame:
     """term, pos, neg: texts of each label that hold the n-gram."""
-    t = df.select(F.col(label).cast("int").alias("y"), F.explode(F.array_distinct(ngrams(F.col(text), most))).alias("term"))
+    dealt = df.select(F.col(label).cast("int").alias("y"), F.col(text).alias("t")).repartition(df.count() // TEXTS + 1)
+    t = dealt.select("y", F.explode(F.array_distinct(ngrams(F.col("t"), most))).alias("term"))
     return t.groupBy("term").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
 
 
 def anchors(df: DataFrame, text: str, label: str, most: int = 3, least_df: int = 2, top: int | None = 20, prior: float = 0.01) -> DataFrame:
     """term, pos, neg, z: terms that favour label 1 by log-odds with an informative prior, z above 0, largest first."""
-    d = document_frequency(df, text, label, most).where(F.col("pos") + F.col("neg") >= least_df)
+    d = store(document_frequency(df, text, label, most).where(F.col("pos") + F.col("neg") >= least_df), "terms")
     n = d.agg(F.sum("pos").alias("n1"), F.sum("neg").alias("n0")).first()
     n1, n0 = float(n.n1 or 0), float(n.n0 or 0)
     a, total = prior * (F.col("pos") + F.col("neg")), prior * (n1 + n0)

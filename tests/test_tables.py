@@ -100,3 +100,16 @@ def test_stream_with_a_frozen_band(spark, tmp_path):
     stream.writeStream.format("memory").queryName("frozen_out").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start().awaitTermination(60)
     got = {r.id: (r.route, r.passed) for r in spark.table("frozen_out").collect()}
     assert got == {1: ("accept", True), 2: ("reject", False), 3: ("escalated", True)}
+
+
+def test_terms_are_counted_once(spark, monkeypatch):
+    monkeypatch.setattr(dictionary, "TEXTS", 10)
+    df = spark.createDataFrame([(f"a{i % 5} b{i % 3} c", i % 2) for i in range(50)], "t string, y int")
+    counted = dictionary.document_frequency(df, "t", "y")
+    assert "Repartition 6" in counted._jdf.queryExecution().optimizedPlan().toString()
+    want = {(r.term, r.pos, r.neg) for r in counted.collect()}
+    assert ("c", 25, 25) in want and ("a1 b1", 2, 2) in want and len(want) == 5 + 3 + 1 + 15 + 3 + 15
+    for top in (None, 3):
+        out = dictionary.anchors(df, "t", "y", top=top)
+        assert "Generate" not in out._jdf.queryExecution().optimizedPlan().toString()
+        assert 0 < out.count() and {(r.term, r.pos, r.neg) for r in out.collect()} <= want
