@@ -113,3 +113,15 @@ def test_terms_are_counted_once(spark, monkeypatch):
         out = dictionary.anchors(df, "t", "y", top=top)
         assert "Generate" not in out._jdf.queryExecution().optimizedPlan().toString()
         assert 0 < out.count() and {(r.term, r.pos, r.neg) for r in out.collect()} <= want
+
+
+def test_anchor_terms_are_the_strongest_of_all(spark):
+    """The twenty terms are those that a sort of all terms puts first."""
+    from quillon import catalog
+
+    at = "/root/testdata/sf0.001"
+    out = catalog.QUERIES["anchor_terms"](spark, at)
+    assert "Generate" not in out._jdf.queryExecution().optimizedPlan().toString()
+    docs = spark.read.parquet(f"{at}/documents.parquet").join(spark.read.parquet(f"{at}/labels.parquet"), "doc_id")
+    every = sorted(dictionary.anchors(docs, "text", "quality", top=None).collect(), key=lambda r: (-r.z, r.term))
+    assert [(r.term, r.pos, r.neg) for r in out.collect()] == [(r.term, r.pos, r.neg) for r in every[:20]]
