@@ -104,23 +104,48 @@ class JoinOutcome:
     calls: DataFrame
 
 
+#: Rows that Python gets at once, as whole calls: a group for each call costs more than a small call does.
+ROWS = 1024
+
+
+def asked(rows: DataFrame, text: str, by: list[str], carried: list[str], ask) -> DataFrame:
+    """ordinal, carried, by, passed, overflow of rows (ordinal, text, carried, by): those that share by are one call.
+
+    ask gets a call's texts by ordinal and gives whether each passes, and whether the call overflows. Calls are dealt whole
+    to groups of some ROWS rows. A carried text is null where it doesn't pass.
+    """
+    kept = ["ordinal", *carried, *by]
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values([*by, "ordinal"], ignore_index=True)
+        texts, passed, overflow = g[text].fillna("").tolist(), [], []
+        starts = g.index[(g[by] != g[by].shift()).any(axis=1)].tolist()
+        for lo, hi in zip(starts, [*starts[1:], len(g)]):
+            said, over = ask(texts[lo:hi])
+            passed += said
+            overflow += [over] * (hi - lo)
+        out = g[kept].assign(passed=passed, overflow=overflow)
+        return out.assign(**{text: out[text].where(out["passed"], None)}) if text in carried else out
+
+    dealt = rows.withColumn("__deal", F.pmod(F.xxhash64(*by), F.lit(rows.count() // ROWS + 1)))
+    schema = rows.select(*kept).schema.add("passed", "boolean").add("overflow", "boolean")
+    return store(dealt.groupBy("__deal").applyInPandas(run, schema), "joined")
+
+
 def single_pass_join(entities: DataFrame, texts: DataFrame, key: str, text: str, question: str, judge: Judge, budget: int = 4096, most: int = 25, retry: bool = False) -> JoinOutcome:
     """Rows paired by id up front, packed into calls by token budget. An id that a call omits is a no, or with retry halved."""
     joined = entities.join(texts.select(F.col(key).alias("__k"), F.col(text).alias("__t")), F.col(key) == F.col("__k"))
     p = store(with_ordinal(joined, key, "__t"), "pairs")
     b = packed(p.select("ordinal", F.col("__t").alias("text")), budget, most)
 
-    def call(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("ordinal")
-        t = g["text"].fillna("").tolist()
+    def ask(t: list[str]) -> tuple[list[bool], bool]:
         got = judge.decide(t, question)
         overflow = any(i not in got for i in range(len(t)))
-        said = [got.get(i) == YES for i in range(len(t))]
         if overflow and retry:
-            said = [bool(x) for x in bisect(t, question, judge)[0]]
-        return pd.DataFrame({"ordinal": g["ordinal"], "passed": said, "range": g["range"], "batch": g["batch"], "tokens": [token_count_py(x) for x in t], "overflow": overflow})
+            return [bool(x) for x in bisect(t, question, judge)[0]], overflow
+        return [got.get(i) == YES for i in range(len(t))], overflow
 
-    said = store(b.groupBy("range", "batch").applyInPandas(call, "ordinal long, passed boolean, range int, batch long, tokens long, overflow boolean"), "joined")
+    said = asked(b.withColumn("tokens", token_count(F.col("text")).cast("long")), "text", ["range", "batch"], ["tokens"], ask)
     rows = p.join(said.where("passed").select("ordinal"), "ordinal").drop("__k", "ordinal").withColumnRenamed("__t", text if text not in entities.columns else f"text_{text}")
     calls = said.groupBy("range", "batch").agg(F.count("*").alias("rows"), F.sum("tokens").alias("tokens"), F.max("overflow").alias("overflow"))
     return JoinOutcome(rows, calls)
@@ -133,19 +158,28 @@ def block_join(entities: DataFrame, texts: DataFrame, key: str, text: str, quest
     budget of tokens, a call has what its rows and the prompt leave of it for the completion, up to completion_cap; a call
     that would have none is refused. Refused and incomplete calls overflow.
     """
-    left = with_ordinal(entities.select(F.col(key).alias("k")).distinct(), "k", name="n").withColumn("block1", F.floor((F.col("n") - 1) / size1)).drop("n")
-    right = with_ordinal(texts.select(F.col(key).alias("k"), F.col(text).alias("t")), "k", "t", name="ordinal").withColumn("block2", F.floor((F.col("ordinal") - 1) / size2))
-    met = store(right.join(left, "k"), "blocks")
+    return _block_calls(entities, _met(entities, texts, key, text), key, text, question, judge, size1, size2, budget, prompt)
+
+
+def _met(entities: DataFrame, texts: DataFrame, key: str, text: str) -> DataFrame:
+    """k, t, n, ordinal: texts whose id entities has, with the ranks of the id among those of entities and of the text among all texts.
+
+    A text without an entity only counts: its id stands for it in the sort.
+    """
+    left = with_ordinal(entities.select(F.col(key).alias("k")).distinct(), "k", name="n")
+    right = texts.select(F.col(key).alias("k"), F.col(text).alias("t")).join(left, "k", "left").withColumn("t", F.when(F.col("n").isNotNull(), F.col("t")))
+    return with_ordinal(right, "k", "t").where("n IS NOT NULL")
+
+
+def _block_calls(entities: DataFrame, met: DataFrame, key: str, text: str, question: str, judge: Judge, size1: int, size2: int, budget: int | None, prompt: int) -> JoinOutcome:
+    blocks = met.withColumns({"block1": F.floor((F.col("n") - 1) / size1), "block2": F.floor((F.col("ordinal") - 1) / size2)}).drop("n")
 
-    def call(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("ordinal")
-        t = g["t"].fillna("").tolist()
+    def ask(t: list[str]) -> tuple[list[bool], bool]:
         room = None if budget is None else budget - prompt - sum(map(token_count_py, t))
         got = judge.decide(t, question) if room is None else judge.decide_within(t, question, completion_cap(len(t), room)) if room > 0 else {}
-        return pd.DataFrame({"k": g["k"], "ordinal": g["ordinal"], "t": g["t"], "passed": [got.get(i) == YES for i in range(len(g))], "block1": g["block1"], "block2": g["block2"], "overflow": any(i not in got for i in range(len(g)))})
+        return [got.get(i) == YES for i in range(len(t))], any(i not in got for i in range(len(t)))
 
-    schema = met.select("k", "ordinal", "t").schema.add("passed", "boolean").add("block1", "long").add("block2", "long").add("overflow", "boolean")
-    said = store(met.groupBy("block1", "block2").applyInPandas(call, schema), "joined")
+    said = asked(blocks, "t", ["block1", "block2"], ["k", "t"], ask)
     passed = said.where("passed").select(F.col("k").alias("__k"), F.col("t").alias(text if text not in entities.columns else f"text_{text}"))
     calls = said.groupBy("block1", "block2").agg(F.count("*").alias("rows"), F.max("overflow").alias("overflow"))
     return JoinOutcome(entities.join(passed, F.col(key) == F.col("__k")).drop("__k"), calls)
@@ -154,10 +188,10 @@ def block_join(entities: DataFrame, texts: DataFrame, key: str, text: str, quest
 def adaptive_join(entities: DataFrame, texts: DataFrame, key: str, text: str, question: str, judge: Judge, budget: int = 4096, selectivity: float = 0.001, factor: float = 4.0, rounds: int = 6, result: float = 8.0) -> JoinOutcome:
     """block_join with block sizes from an estimate of selectivity, raised by factor until no call overflows."""
     m1, m2 = (mean_tokens(df, c).first()[0] for df, c in ((entities, key), (texts, text)))
-    out = None
+    out, prompt, met = None, 64, _met(entities, texts, key, text)  # rounds differ in the sizes of blocks alone
     for _ in range(rounds):
-        b1, b2 = optimal_block(m1, m2, result, 64, budget, selectivity)
-        out = block_join(entities, texts, key, text, question, judge, b1, b2, budget)
+        b1, b2 = optimal_block(m1, m2, result, prompt, budget, selectivity)
+        out = _block_calls(entities, met, key, text, question, judge, b1, b2, budget, prompt)
         if out.calls.where("overflow").isEmpty():
             break
         selectivity *= factor

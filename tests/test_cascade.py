@@ -108,6 +108,19 @@ def test_semantic_joins(spark, tmp_path):
     assert joins.single_pass_join(e, t, "id", "body", "q", strict, retry=True).rows.count() == len(want)
 
 
+def test_adaptive_rounds_share_one_order(spark, monkeypatch):
+    """Rounds of other block sizes don't sort and join the texts again."""
+    sorts, asked, order, ask = [], [], joins.with_ordinal, joins.asked
+    monkeypatch.setattr(joins, "with_ordinal", lambda *a, **b: sorts.append(a) or order(*a, **b))
+    monkeypatch.setattr(joins, "asked", lambda *a: asked.append(a) or ask(*a))
+    e = spark.createDataFrame([(i, f"e{i}") for i in range(30)], "id long, name string")
+    t = spark.createDataFrame([(i % 35, f"text {i} of it") for i in range(70)], "id long, body string")
+    judge = ScriptedJudge({f"text {i} of it": "Yes" for i in range(0, 70, 3)}, most=4)
+    out = joins.adaptive_join(e, t, "id", "body", "q", judge, budget=10**4, factor=64.0)
+    assert sorted((r.id, r.body) for r in out.rows.collect()) == sorted((i % 35, f"text {i} of it") for i in range(0, 70, 3) if i % 35 < 30)
+    assert out.calls.where("overflow").isEmpty() and len(asked) > 1 and len(sorts) == 2
+
+
 def test_packing():
     assert joins.pack([10, 10, 10], 100, 2) == [0, 0, 1]
     assert joins.pack([500, 10], 100, 25) == [0, 1]
