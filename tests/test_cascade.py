@@ -121,6 +121,21 @@ def test_adaptive_rounds_share_one_order(spark, monkeypatch):
     assert out.calls.where("overflow").isEmpty() and len(asked) > 1 and len(sorts) == 2
 
 
+def test_small_calls_reach_python_together(spark, monkeypatch):
+    """Calls of one text are judged one by one, in a few groups."""
+    stored, store = {}, joins.store
+    monkeypatch.setattr(joins, "store", lambda df, name: stored.update({name: df}) or store(df, name))
+    monkeypatch.setattr(joins, "ROWS", 100)
+    e = spark.range(300).selectExpr("id", "'x' AS name")
+    t = spark.range(350).selectExpr("id", "CASE WHEN id % 3 = 0 THEN 'a b c d e f' ELSE 'yes' END AS body")
+    out = joins.block_join(e, t, "id", "body", "q", ScriptedJudge({"a b c d e f": "Yes", "yes": "Yes"}), 10**9, 1, 69)
+    assert sorted(r.id for r in out.rows.collect()) == [i for i in range(300) if i % 3]
+    calls = out.calls.collect()
+    assert len(calls) == 300 and all(r.rows == 1 and r.overflow == (r.block2 % 3 == 0) for r in calls)
+    plan = stored["joined"]._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroupsInPandas [__deal" in plan and "pmod" in plan and ", 4)" in plan
+
+
 def test_packing():
     assert joins.pack([10, 10, 10], 100, 2) == [0, 0, 1]
     assert joins.pack([500, 10], 100, 25) == [0, 1]
