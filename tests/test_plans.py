@@ -76,6 +76,20 @@ def test_parsers():
     assert judges.log_odds({"yes": -9.0}) > 0 > judges.log_odds({"No": -0.01}) and judges.log_odds({"x": 0.0}) is None
 
 
+def test_ids_are_looked_up(monkeypatch):
+    """No pattern is compiled for a text, and an id after a bare one is read too."""
+    import re
+
+    made, compile = [], re.compile
+    finditer = re.finditer
+    monkeypatch.setattr(re, "compile", lambda *a: made.append(a) or compile(*a))
+    monkeypatch.setattr(re, "finditer", lambda *a: made.append(a) or finditer(*a))
+    for i in range(100):
+        assert judges.parse_ids(f"xid{i}, id{i}0 and id{i}: no; id{i}: yes", [f"id{i}"]) == {f"id{i}": "NO"}
+    assert judges.parse_ids("[id1, id2, a.b (c)] id-3 decision: 'Maybe'", ["id1", "id2", "id-3", "id", "a.b", "a.b (c)", "", "9"]) == {"id1": "YES", "id2": "YES", "a.b (c)": "YES", "id-3": "UNCERTAIN"}
+    assert judges.parse_ids(None, ["a"]) == {} == judges.parse_ids("a", []) and not made
+
+
 def test_batches_are_parsed_once(spark, monkeypatch):
     from quillon import catalog_parts
 
