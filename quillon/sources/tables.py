@@ -6,10 +6,10 @@ import json
 import os
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.functions.text import PROMPT, collapse, prompt_text, unescape
+from quillon.functions.text import PROMPT, collapse, let, prompt_text, unescape
 from quillon.plans.schema import EntityTextSchema, pick_column
 
 
@@ -62,18 +62,30 @@ def read_any(spark: SparkSession, path: str) -> DataFrame:
     raise ValueError(f"unknown kind of file: {path}")
 
 
+# Fixed value: what html.unescape takes for an entity.
+_ENTITY = r"\&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <\&#;]{1,32};?)"
+
+
+def unescaped(text: Column) -> Column:
+    """html.unescape of a text. Python gets a text's distinct entities only, so that its memory doesn't depend on the texts."""
+
+    @F.pandas_udf("array<string>")
+    def plain(marks: pd.Series) -> pd.Series:
+        return marks.map(lambda found: None if found is None else [unescape(x) for x in found])
+
+    pieces = F.regexp_extract_all(text, F.lit(_ENTITY + r"|[^\&]+|\&"), F.lit(0))
+    marks = F.array_distinct(F.regexp_extract_all(text, F.lit(_ENTITY), F.lit(0)))
+    return let(F.map_from_arrays(marks, plain(marks)), lambda of: F.array_join(F.transform(pieces, lambda x: F.coalesce(F.try_element_at(of, x), x)), ""))
+
+
 def text_rows(df: DataFrame, entity_aliases=("entity_id", "tconst", "product_id", "id"), text_aliases=("text", "review", "review_text")) -> DataFrame:
     """text_id, entity_id, text: entities unescaped, tags out, each (entity, text) once; the id is a hash of both."""
 
-    @F.pandas_udf("string")
-    def plain(t: pd.Series) -> pd.Series:
-        return t.map(unescape)
-
     e, t = pick_column(df.columns, *entity_aliases), pick_column(df.columns, *text_aliases)
-    # only texts with an entity go to Python; most have none
+    # most texts have no entity
     raw = df.select(F.col(e).cast("string").alias("entity_id"), F.col(t).alias("raw"))
     escaped = F.coalesce(F.contains("raw", F.lit("&")), F.lit(False))
-    raw = raw.where(~escaped).unionByName(raw.where(escaped).withColumn("raw", plain(F.col("raw"))))
+    raw = raw.where(~escaped).unionByName(raw.where(escaped).withColumn("raw", unescaped(F.col("raw"))))
     body = F.trim(F.regexp_replace(F.regexp_replace("raw", r"<[^>]*>", " "), r"\s+", " "))
     rows = raw.select("entity_id", body.alias("text")).where("text != ''").dropDuplicates()
     return rows.select(F.left(F.sha2(F.concat("entity_id", F.lit("\0"), "text"), 256), F.lit(24)).alias("text_id"), "entity_id", "text")

@@ -42,6 +42,22 @@ def test_text_rows(spark):
     assert r.entity_id == "1" and r.text == "a & b c" and len(r.text_id) == 24
 
 
+def test_entities_alone_go_to_python(spark, monkeypatch):
+    import html
+    import random
+
+    r, bits = random.Random(5), ["&amp;", "&amp", "&notit;", "&#65;", "&#x1F600", "&#0;", "&", "&&lt;", "&unknown;", "\n", " ", "<", ";", "#", "x" * 40, "\u00e9", "\U0001f600", "&\U0001f600;", "&copy1"]
+    texts = ["".join(r.choice(bits) for _ in range(r.randint(0, 12))) for _ in range(500)] + ["", "no entity", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = {x.i: x.u for x in df.select("i", tables.unescaped(F.col("t")).alias("u")).collect()}
+    assert [got[i] for i in range(500)] == [html.unescape(t) for t in texts[:500]] and [got[i] for i in range(500, 503)] == ["", "no entity", None]
+    long = spark.createDataFrame([("1", "a &amp; b " * 5000)], "tconst string, review string")
+    plan = tables.text_rows(long)._jdf.queryExecution().optimizedPlan().toString()
+    assert "ArrowEvalPython [plain(array_distinct(" in plan or "ArrowEvalPython [plain(_" in plan
+    (x,) = tables.text_rows(long).collect()
+    assert x.text == ("a & b " * 5000).strip()
+
+
 def test_sinks(spark, tmp_path):
     a = spark.createDataFrame([(1, "x")], "id long, a string")
     b = spark.createDataFrame([(2, 0.5)], "id long, b double")
